@@ -1 +1,6 @@
+"""Queries over the driver's tables, one per operator, with their SQL."""
 
+from . import frequency
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "frequency"]
