@@ -143,22 +143,22 @@ def structures(places: DataFrame, labels: dict[str, str], name: str = "name", le
 
 
 def cooccurrence(places: DataFrame, labels: dict[str, str], name: str = "name") -> DataFrame:
-    """first, second, both, n_first, n_second, total: in how many places two
+    """first, second, n_both, n_first, n_second, total: in how many places two
     categories (also one with itself) occur; total counts all places."""
     seq = F.array_sort(F.array_distinct(F.filter(sequence(F.col(name), labels), lambda c: c != "other")))
     rows = places.select(seq.alias("cats"))
     total = places.agg(F.count(F.lit(1)).alias("total"))
     pairs = rows.select(F.explode(F.flatten(F.transform("cats", lambda a: F.transform(F.filter("cats", lambda b: b >= a), lambda b: F.struct(a.alias("first"), b.alias("second")))))).alias("p"))
-    counts = pairs.groupBy("p.first", "p.second").agg(F.count(F.lit(1)).alias("both"))
+    counts = pairs.groupBy("p.first", "p.second").agg(F.count(F.lit(1)).alias("n_both"))
     single = counts.filter("first = second")
-    out = counts.join(F.broadcast(single.select("first", F.col("both").alias("n_first"))), "first")
-    out = out.join(F.broadcast(single.select("second", F.col("both").alias("n_second"))), "second")
+    out = counts.join(F.broadcast(single.select("first", F.col("n_both").alias("n_first"))), "first")
+    out = out.join(F.broadcast(single.select("second", F.col("n_both").alias("n_second"))), "second")
     return out.join(F.broadcast(total))  # a single row
 
 
 def cooccurrence_measures(pairs: DataFrame) -> DataFrame:
     """PMI, contingency test, conditional probabilities and lift of each pair."""
-    both, a, b, t = (F.col(c) for c in ("both", "n_first", "n_second", "total"))
+    both, a, b, t = (F.col(c) for c in ("n_both", "n_first", "n_second", "total"))
     out = pairs.withColumn("chi2", stats.chi2_yates(both, a, b, t))
     return out.withColumns(
         {
@@ -175,8 +175,8 @@ def cooccurrence_measures(pairs: DataFrame) -> DataFrame:
 def category_entropy(pairs: DataFrame) -> DataFrame:
     """Entropy of each category's partners (itself left out) and their number."""
     both = pairs.filter("first <> second")
-    rows = both.select(F.col("first").alias("category"), "both").unionByName(both.select(F.col("second").alias("category"), "both"))
-    share = stats.ratio(F.col("both"), F.sum("both").over(Window.partitionBy("category")))
+    rows = both.select(F.col("first").alias("category"), "n_both").unionByName(both.select(F.col("second").alias("category"), "n_both"))
+    share = stats.ratio(F.col("n_both"), F.sum("n_both").over(Window.partitionBy("category")))
     return rows.withColumn("share", share).groupBy("category").agg((-F.sum(F.col("share") * F.log2(F.col("share") + 1e-10))).alias("entropy"), F.count(F.lit(1)).alias("partners"))
 
 

@@ -202,7 +202,7 @@ def ngram_tendency(spark, sf_dir):
 @query(f"WITH {_GRAMS}, {_NT} SELECT city, n, position, ngram, round(chi2, 4) AS chi2, chi2 > 3.841459 AS is_significant, round(sqrt(chi2 / gt), 6) AS cramers_v FROM nz")
 def ngram_significance_flag(spark, sf_dir):
     out = ngrams.ngram_significance(ngrams.ngram_tendency(_grams(spark, sf_dir, CITY), _grams(spark, sf_dir, [])))
-    return rounded(out.select("city", "n", "position", "ngram", "chi2", "is_significant", "cramers_v")).withColumn("chi2", F.round("chi2", 4))
+    return out.select("city", "n", "position", "ngram", F.round("chi2", 4).alias("chi2"), "is_significant", F.round("cramers_v", 6).alias("cramers_v"))
 
 
 @query(
