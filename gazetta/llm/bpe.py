@@ -15,7 +15,7 @@ each Python worker.
 from __future__ import annotations
 
 import hashlib
-import heapq
+import gc
 import json
 import re
 from collections.abc import Iterator
@@ -48,6 +48,7 @@ class SpeculativeBpe:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.tokenizer = Tokenizer.from_file(path)
+        self.exact = self.tokenizer.model
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.vocab: dict[str, int] = model["vocab"]
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
@@ -57,7 +58,6 @@ class SpeculativeBpe:
         self.simple = self._probe()
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {(self.vocab[a], self.vocab[b]): r for r, (a, b) in reversed([*enumerate(pairs)])}
-        self.merged = {(self.vocab[a], self.vocab[b]): self.vocab[a + b] for a, b in pairs}
         self._arrays(pairs)
         self.words: dict[str, tuple[str, str, int]] = {}
         self.chunks: dict[str, tuple[str, str, int]] = {}
@@ -180,27 +180,9 @@ class SpeculativeBpe:
             x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
         return good
 
-    def merge(self, symbols: list[int]) -> list[int]:
-        """Exact merging, lowest rank first, leftmost first among equals."""
-        ids = [int(self.base_ids[s]) for s in symbols]
-        if min(ids, default=0) < 0:
-            ids = [i for i in ids if i >= 0]
-        n = len(ids)
-        after, prior, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        queue = [(self.rank[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.rank]
-        heapq.heapify(queue)
-        while queue:
-            _, i, pair = heapq.heappop(queue)
-            j = after[i] if alive[i] else -1
-            if j < 0 or (ids[i], ids[j]) != pair:
-                continue
-            ids[i], alive[j], after[i] = self.merged[pair], False, after[j]
-            if after[j] >= 0:
-                prior[after[j]] = i
-            for k in (prior[i], i):
-                if k >= 0 and after[k] >= 0 and (p := (ids[k], ids[after[k]])) in self.rank:
-                    heapq.heappush(queue, (self.rank[p], k, p))
-        return [t for t, a in zip(ids, alive, strict=True) if a]
+    def merge(self, word: str) -> list[int]:
+        """Exact merging of one word, lowest rank first, by the tokenizer's own routine."""
+        return [t.id for t in self.exact.tokenize(word)]
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of each word, given in the byte alphabet without suffix."""
@@ -219,7 +201,7 @@ class SpeculativeBpe:
         flat = token.tolist()
         self.speculated += len(words)
         self.repaired += int(bad.sum())
-        return [tuple(self.merge(symbols[i])) if bad[i] else tuple(flat[cuts[i] : cuts[i + 1]]) for i in range(len(words))]
+        return [tuple(self.merge(words[i])) if bad[i] else tuple(flat[cuts[i] : cuts[i + 1]]) for i in range(len(words))]
 
     def _chunk_words(self, chunk: str) -> list[str | int]:
         """Words of a chunk in the byte alphabet; ids for special tokens."""
@@ -241,6 +223,15 @@ class SpeculativeBpe:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks that aren't known yet."""
+        collects = gc.isenabled()
+        gc.disable()  # a million small tuples without cycles, which it would walk again and again
+        try:
+            self._learn(chunks)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _learn(self, chunks: set[str]) -> None:
         if len(self.chunks) + len(chunks) > MEMORY:
             self.chunks.clear()
             self.words.clear()
