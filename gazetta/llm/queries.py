@@ -14,6 +14,7 @@ from .quality import quality_measures
 from .secrets import scan_secrets
 from .sharding import stratified_shards
 from .simhash import simhash_components
+from .sql import ORACLES
 from .warc import warc_round_trip
 
 
@@ -71,3 +72,5 @@ QUERIES = {
         op6_secret_ledger, op7_stratified_shards, op8_wrapper_induction, op9_quality_cascade, op10_simhash_bk_trees,
     )
 }
+
+__all__ = ["ORACLES", "QUERIES"]
