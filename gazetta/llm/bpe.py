@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import id_and_text
 from .packing import byte_alphabet
 
 #: Distinct chunks that a worker remembers before it starts afresh.
@@ -283,10 +283,9 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         model = bpe(tokenizer)
         for batch in batches:
             ids = [model.encode(t.as_py()) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(ids, schema.types[1]), pa.array([*map(model.decode, ids)])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, schema.types[1]), pa.array([*map(model.decode, ids)])], schema=schema)
 
-    plain = df.select(df[id_col].cast("long").alias("doc"), text_of(df, text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,8 +319,7 @@ def encode_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     texts, size = [], 0
             rows += digest(texts)
             if rows:
-                columns = [batch["doc"], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types[1:], strict=True))]
+                columns = [batch["doc_id"], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, schema=_OUT)
 
-    plain = df.select(df[id_col].cast("long").alias("doc"), text_of(df, text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

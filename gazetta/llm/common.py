@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,12 +42,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def code_points(text: Column) -> Column:
-    return F.length(text).cast("long")
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns __c0, __c1 ... by position, so that no name can clash."""
+    return df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
 
 
-def text_of(df: DataFrame, text_col: str) -> Column:
-    return F.coalesce(df[text_col].cast("string"), F.lit(""))
+def place(df: DataFrame, name: str) -> str:
+    """The numbered name of a column: the exact name, or else one that differs in case only."""
+    names = df.columns
+    if name in names:
+        return f"__c{names.index(name)}"
+    return f"__c{[n.lower() for n in names].index(name.lower())}"
+
+
+def picked(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
+    """Only the named columns: new name = (column, type)."""
+    return numbered(df).select(*[F.col(place(df, c)).cast(t).alias(n) for n, (c, t) in columns.items()])
+
+
+def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and text, an empty text for null."""
+    rows = picked(df, doc_id=(id_col, "long"), text=(text_col, "string"))
+    return rows.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:

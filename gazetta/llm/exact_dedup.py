@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import shuffle_partitions, text_of, written
+from .common import numbered, place, shuffle_partitions, written
 
 #: Characters of the normalised text that order it before its digest does.
 SPLITTER_CHARS = 32
@@ -98,10 +98,10 @@ def _runs(heads_only: bool, keep_text: bool, schema: pa.Schema):
 
 
 def _sorted(df: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
-    text = text_of(df, text_col)
-    rows = df.select(
-        *[df[c].alias(f"__c{i}") for i, c in enumerate(carried)],
-        df[id_col].cast("long").alias("__id"),
+    text = F.coalesce(F.col(place(df, text_col)).cast("string"), F.lit(""))
+    rows = numbered(df).select(
+        *carried,
+        F.col(place(df, id_col)).cast("long").alias("__id"),
         text.alias("__text"),
         F.length(text).alias("__points"),
         normalised(text).alias("__norm"),
@@ -159,14 +159,14 @@ def _renamed(run, names):
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_duplicates keeps, with df's own columns."""
-    others = [c for c in df.columns if c != text_col]
-    rows = _sorted(df, id_col, text_col, others)
-    had_null = rows.withColumn("__null", F.lit(False))
-    carried = [T.StructField(f"__c{i}", df.schema[c].dataType) for i, c in enumerate(others)]
+    """The rows of df that exact_duplicates keeps, with df's own columns; a null text that
+    is kept comes back empty."""
+    at = place(df, text_col)
+    carried = [T.StructField(f"__c{i}", f.dataType) for i, f in enumerate(df.schema.fields) if f"__c{i}" != at]
+    rows = _sorted(df, id_col, text_col, [f.name for f in carried])
     fields = T.StructType([*carried, T.StructField("__text", T.StringType()), T.StructField("__sha", T.StringType()), *[T.StructField(n, T._parse_datatype_string(t)) for n, t in _RUN]])
-    rows = had_null.select(*[f.name for f in carried], "__id", "__text", "__sha")
+    rows = rows.select(*[f.name for f in carried], "__id", "__text", "__sha")
     runs = written(rows.mapInArrow(_runs(True, True, to_arrow_schema(fields)), fields), "heads")
     kept = _stitched(runs).filter("__head")
-    text = F.col("__text").cast(df.schema[text_col].dataType)
-    return kept.select(*[text.alias(c) if c == text_col else F.col(f"__c{others.index(c)}").alias(c) for c in df.columns])
+    out = [F.col("__text" if f"__c{i}" == at else f"__c{i}").cast(f.dataType) for i, f in enumerate(df.schema.fields)]
+    return kept.select(*out).toDF(*df.columns)

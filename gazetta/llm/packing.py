@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import id_and_text, written
 
 PIECES_PER_SHARD = 4096
 
@@ -109,7 +109,7 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capa
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc"].to_pylist(), batch["text"], strict=True):
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 ids = np.array([*encode(tokenizer, text.as_py()), end_id], "<u4")
                 start = 0
                 for k, n in enumerate(piece_lengths(len(ids), capacity)):
@@ -119,7 +119,7 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capa
                 columns = zip(zip(*rows, strict=True), _PIECE.types, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], schema=_PIECE)
 
-    return df.select(df[id_col].cast("long").alias("doc"), text_of(df, text_col).alias("text")).mapInArrow(
+    return id_and_text(df, id_col, text_col).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_left_join, text_of, written
+from .common import picked, salted_left_join, written
 
 #: Fixed patterns by kind, in the order in which they are tried at a place.
 KINDS = {
@@ -211,8 +211,10 @@ def replace_personal_data(df: DataFrame, key: str = "surrogates", id_col: str =
     ignored; an empty table gives an empty result.
     """
     pattern = _pattern()
-    plain = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    texts = plain.select(F.unhex(F.sha2(text_of(plain, "text"), 256)).alias("blob"), F.regexp_extract_all(text_of(plain, "text"), F.lit(pattern), F.lit(0)).alias("found"))
+    plain = picked(df, doc_id=(id_col, "long"), text=(text_col, "string"))
+    text = F.coalesce("text", F.lit(""))
+    blob = F.unhex(F.sha2(text, 256))
+    texts = plain.select(blob.alias("blob"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     mentions = texts.filter(F.size("found") > 0).select("blob", F.posexplode("found").alias("place", "value")).distinct()
     mentions = mentions.withColumn("kind", kind_of(F.col("value")))
     mentions = written(mentions.withColumn("core", identity(F.col("kind"), F.col("value"))), "mentions")
@@ -220,7 +222,7 @@ def replace_personal_data(df: DataFrame, key: str = "surrogates", id_col: str =
     named = salted_left_join(mentions.withColumn("__who", F.concat_ws(":", "kind", "core")), entities.select(F.concat_ws(":", "kind", "core").alias("__who"), "surrogate"), "__who")
     placed = named.select("blob", "place", _in_format(F.col("value"), F.col("kind"), F.col("surrogate")).alias("new"))
     lists = placed.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("place", "new"))).alias("new"))
-    rows = salted_left_join(plain.withColumn("blob", F.unhex(F.sha2(text_of(plain, "text"), 256))), lists, "blob")
+    rows = salted_left_join(plain.withColumn("blob", blob), lists, "blob")
     parts = F.split("text", pattern, -1)
     rebuilt = F.array_join(F.flatten(F.zip_with(parts, F.transform("new", lambda x: x["new"]), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
     return rows.select("doc_id", F.when(F.col("new").isNull(), F.col("text")).otherwise(rebuilt).alias("text"), F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n_entities"))

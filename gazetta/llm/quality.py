@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import numbered, picked, place
 
 #: Rows of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 512
@@ -109,7 +109,9 @@ RULES: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def _prepared(df: DataFrame, text_col: str) -> DataFrame:
-    return df.withColumn("__text", text_of(df, text_col)).withColumn("__words", words_of(F.col("__text")))
+    """df with its columns numbered, __text and __words."""
+    text = F.coalesce(F.col(place(df, text_col)).cast("string"), F.lit(""))
+    return numbered(df).withColumn("__text", text).withColumn("__words", words_of(F.col("__text")))
 
 
 def _measure(name: str) -> Column:
@@ -159,7 +161,7 @@ def estimate(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_RO
     """
     total = df.count()
     share = min(1.0, 1.2 * sample_rows / max(1, total))
-    sample = _prepared(df.select(df[text_col]).sample(share, seed).limit(sample_rows), text_col).select("__text", "__words").persist()
+    sample = _prepared(picked(df, text=(text_col, "string")).sample(share, seed).limit(sample_rows), "text").select("__text", "__words").persist()
     try:
         rows = sample.count()
         found = []
@@ -193,8 +195,8 @@ def quality_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other columns are ignored; an empty table gives an empty result.
     """
     order = order or ordered(estimate(df, text_col))
-    rows = _prepared(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("__raw")), "__raw").drop("__raw")
-    measured = rows.select("doc_id", *[_measure(n).alias(n) for n in (*MEASURES, "n_lines")])
+    rows = _prepared(picked(df, doc_id=(id_col, "long"), text=(text_col, "string")), "text")
+    measured = rows.select(F.col("__c0").alias("doc_id"), *[_measure(n).alias(n) for n in (*MEASURES, "n_lines")])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = measured.select("doc_id", *MEASURES, failed.alias("base_failed"), cascade(order, {*MEASURES, "n_lines"}).alias("kept"))
     return out
@@ -204,4 +206,4 @@ def keep_good(df: DataFrame, text_col: str = "text", order: list[str] | None = N
     """The rows of df that no rule rejects, with df's own columns."""
     order = order or ordered(estimate(df, text_col))
     rows = _prepared(df, text_col).withColumn("__kept", cascade(order, set()))
-    return rows.filter("__kept").select(*[rows[f"`{c}`"] for c in df.columns])
+    return rows.filter("__kept").select(*[f"__c{i}" for i in range(len(df.columns))]).toDF(*df.columns)

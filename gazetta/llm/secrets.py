@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, salted_left_join, text_of
+from .common import fresh_dir, id_and_text, numbered, picked, place, salted_left_join
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,7 @@ def update_ledger(df: DataFrame, ledger_path: str, text_col: str = "text", rules
     """Scans the blobs of df for the rule versions that the ledger at
     `ledger_path` hasn't got, appends what is found, and returns the ledger."""
     spark = df.sparkSession
-    texts = df.select(text_of(df, text_col).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    texts = picked(df, text=(text_col, "string")).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("blob", F.unhex(F.sha2("text", 256)))
     blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
     known = _ledger(spark, ledger_path)
     keys = F.array(*[F.lit(r.key) for r in rules])
@@ -121,9 +121,8 @@ def scan_secrets(df: DataFrame, ledger_path: str | None = None, id_col: str = "d
     rows, share a blob and each get its findings; other columns are ignored;
     an empty table gives an empty result.
     """
-    ledger = update_ledger(df.select(text_col), ledger_path or fresh_dir(df.sparkSession, "ledger"), text_col)
-    plain = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    paths = plain.select("doc_id", F.unhex(F.sha2(text_of(plain, "text"), 256)).alias("blob"))
+    ledger = update_ledger(df, ledger_path or fresh_dir(df.sparkSession, "ledger"), text_col)
+    paths = id_and_text(df, id_col, text_col).select("doc_id", F.unhex(F.sha2("text", 256)).alias("blob"))
     hits = _hits(ledger)
     rows = salted_left_join(paths, hits, "blob").withColumn("spans", F.coalesce("__spans", F.expr(_NONE)))
     base = F.filter("spans", lambda s: s["at"] < len(BASE_RULES))
@@ -140,9 +139,9 @@ def _hits(ledger: DataFrame) -> DataFrame:
 
 def redact_secrets(df: DataFrame, ledger_path: str | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every found span replaced by `mark`; overlapping spans get one."""
-    ledger = update_ledger(df.select(text_col), ledger_path or fresh_dir(df.sparkSession, "ledger"), text_col)
-    inner = df.select(*[df[c].alias(f"__c{i}") for i, c in enumerate(df.columns)], text_of(df, text_col).alias("__text"))
-    paths = inner.withColumn("blob", F.unhex(F.sha2("__text", 256)))
+    ledger = update_ledger(df, ledger_path or fresh_dir(df.sparkSession, "ledger"), text_col)
+    at = place(df, text_col)
+    paths = numbered(df).withColumn("__text", F.coalesce(F.col(at).cast("string"), F.lit(""))).withColumn("blob", F.unhex(F.sha2("__text", 256)))
     rows = salted_left_join(paths, _hits(ledger), "blob")
     text = F.col("__text")
 
@@ -153,6 +152,5 @@ def redact_secrets(df: DataFrame, ledger_path: str | None = None, text_col: str
 
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("__spans", state, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    i = df.columns.index(text_col)
-    kept = F.when(F.col("__spans").isNull(), F.col(f"__c{i}")).otherwise(clean)
-    return rows.select(*[kept.alias(c) if k == i else F.col(f"__c{k}").alias(c) for k, c in enumerate(df.columns)])
+    kept = F.when(F.col("__spans").isNull(), F.col(at)).otherwise(clean)
+    return rows.select(*[kept if f"__c{i}" == at else F.col(f"__c{i}") for i in range(len(df.columns))]).toDF(*df.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import picked
 
 ROWS_PER_BUCKET = 20_000
 _2_32 = 4294967296
@@ -52,14 +52,14 @@ def stratified_shards(df: DataFrame, shards: int = 16, seed: int = 42, id_col: s
     first; repeated rows get a slot each; other columns are ignored; an
     empty table gives an empty result. With fewer rows than shards some shards are empty.
     """
-    text = text_of(df, text_col)
-    rows = df.select(
-        df[id_col].cast("long").alias("doc_id"),
-        F.coalesce(df[source_col].cast("string"), F.lit("\0null")).alias("__source"),
+    text = F.coalesce("text", F.lit(""))
+    rows = picked(df, doc_id=(id_col, "long"), text=(text_col, "string"), source=(source_col, "string")).select(
+        "doc_id",
+        F.coalesce("source", F.lit("\0null")).alias("__source"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     ).withColumn("__digest", _seeded(seed, F.col("doc_id")))
-    total = df.count()
+    total = rows.count()
     buckets = max(128, -(-total // ROWS_PER_BUCKET))
     order = ["__digest", "doc_id", "text_crc32", "size"]
     ranked = _ranked(rows, ["__source"], F.floor(_fraction(F.col("__digest")) * buckets), order, "__rank", "__of")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_left_join, shuffle_partitions, text_of, written
+from .common import id_and_text, numbered, place, salted_left_join, shuffle_partitions, written
 
 BITS = 64
 #: Members of a shard beyond which it is dealt anew.
@@ -63,8 +63,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int = 3, seed
             values = np.array([fingerprint(t.as_py(), words, seed) for t in batch["text"]], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values, pa.int64())], schema=schema)
 
-    plain = df.select(df[id_col].cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
 class BkTrees:
@@ -285,5 +284,6 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = simhash_components(df, id_col, text_col, words, radius)
     keep = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = df.join(keep, df[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    rows, at = numbered(df), place(df, id_col)
+    kept = rows.join(keep, F.col(at).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    return kept.dropDuplicates([at]).toDF(*df.columns)

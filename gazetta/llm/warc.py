@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, salted_left_join, text_of, written
+from .common import fresh_dir, picked, salted_left_join, written
 
 FRAME_BYTES = 256 * 1024
 BUNDLE_BYTES = 32 * 1024 * 1024
@@ -126,8 +126,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     responses too. A null payload is empty, a null url is about:blank; a null id is smaller
     than all others. Other columns are ignored; an empty table writes nothing.
     """
-    payload = F.encode(text_of(pages, payload_col), "utf-8")
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
+    rows = picked(pages, page_id=(id_col, "long"), url=(url_col, "string"), payload=(payload_col, "string"))
+    rows = rows.withColumn("payload", F.encode(F.coalesce("payload", F.lit("")), "utf-8"))
     rows = rows.withColumn("sha", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256))))
     groups = rows.filter("sha IS NOT NULL").groupBy("sha").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     roles = salted_left_join(rows, groups, "sha").select("page_id", "url", "payload", "owner")
