@@ -139,10 +139,9 @@ def wilson(n: Column, total: Column, level: float = 0.95) -> tuple[Column, Colum
     centre = p + z * z / (2 * size)
     spread = z * F.sqrt(p * (1 - p) / size + z * z / (4 * size * size))
     scale = 1 + z * z / size
-    return (
-        F.coalesce(F.greatest(F.lit(0.0), (centre - spread) / scale), F.lit(0.0)),
-        F.coalesce(F.least(F.lit(1.0), (centre + spread) / scale), F.lit(0.0)),
-    )
+    low, high = (centre - spread) / scale, (centre + spread) / scale
+    known = size.isNotNull()
+    return F.when(known, F.greatest(F.lit(0.0), low)).otherwise(0.0), F.when(known, F.least(F.lit(1.0), high)).otherwise(0.0)
 
 
 def support(g: Column, n: Column, least_all: int = 20, least_here: int = 5) -> Column:

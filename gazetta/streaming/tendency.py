@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazetta.functions import stats
@@ -21,9 +21,7 @@ def windowed_counts(stream: DataFrame, window: str = "1 hour", late: str = "10 m
 
 def windowed_tendency(counts: DataFrame) -> DataFrame:
     """Lift and z of each type in its window against all windows (on settled counts)."""
-    per_window = counts.groupBy("window").agg(F.sum("n").alias("window_n"))
-    per_type = counts.groupBy("event_type").agg(F.sum("n").alias("type_n"))
-    total = counts.agg(F.sum("n").alias("all_n"))
-    out = counts.join(per_window, "window").join(per_type, "event_type").join(F.broadcast(total))  # a single row
+    everywhere, here, kind = Window.partitionBy(), Window.partitionBy("window"), Window.partitionBy("event_type")
+    out = counts.withColumns({"window_n": F.sum("n").over(here), "type_n": F.sum("n").over(kind), "all_n": F.sum("n").over(everywhere)})
     q = stats.ratio(F.col("type_n"), F.col("all_n"))
     return out.withColumns({"lift": stats.lift(stats.ratio(F.col("n"), F.col("window_n")), q), "z_score": stats.z_binomial(F.col("n"), F.col("window_n"), q)})
