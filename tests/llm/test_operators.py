@@ -348,7 +348,7 @@ def test_html_without_a_template_keeps_everything(spark):
 
 def test_html_parser_survives_bad_markup():
     for page in ("<", "<a", "<p", "</p></div>", "<!--", "<script>", '<p title="x>y', "<![CDATA[ <p>x", "<p>a</b></i>b" * 50, "&amp &lt; &#x41;"):
-        html.page_blocks(page, None)
+        html.page_blocks(page, html.skeleton(page))
     assert html.page_blocks("<p>1 &lt; 2", None)[0][0] == "1 < 2"
 
 
