@@ -10,7 +10,6 @@ is kept exactly when no rule rejects it.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +34,10 @@ def repeated_words(words: Column) -> Column:
     as many low bits as the text needs; equal neighbours are compared by their whole
     hash. Texts without a repeated window end at the first test.
     """
+    return _let(words, _repeated)  # bound once: an optimiser that moves the expression must not split the text for each word
+
+
+def _repeated(words: Column) -> Column:
     n = F.size(words)
     hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
@@ -69,31 +72,6 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-@dataclass(frozen=True)
-class Measures:
-    """Columns that the rules read, by name."""
-
-    words: str = "__words"
-    text: str = "__text"
-
-    def n_words(self) -> Column:
-        return F.size(self.words).cast("long")
-
-    def word_chars(self) -> Column:
-        return F.length(F.translate(self.text, _BLANKS, "")).cast("long")
-
-    def n_symbols(self) -> Column:
-        t = F.col(self.text)
-        return (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")
-
-    def n_dup_lines(self) -> Column:
-        lines = F.filter(F.split(F.col(self.text), "\n"), lambda x: F.trim(F.translate(x, _BLANKS, "")) != "")
-        return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-
-    def n_repeat_words(self) -> Column:
-        return repeated_words(F.col(self.words))
-
-
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 #: Rules by name: the measures each one reads, and what it rejects. The first two are
@@ -114,16 +92,28 @@ def _prepared(df: DataFrame, text_col: str) -> DataFrame:
     return numbered(df).withColumn("__text", text).withColumn("__words", words_of(F.col("__text")))
 
 
-def _measure(name: str) -> Column:
-    if name == "n_lines":
-        return F.size(F.filter(F.split(F.col("__text"), "\n"), lambda x: F.translate(x, _BLANKS, "") != "")).cast("long")
-    return getattr(Measures(), name)()
+def _lines(text: Column) -> Column:
+    """Lines that have a word."""
+    return F.filter(F.split(text, "\n"), lambda x: F.translate(x, _BLANKS, "") != "")
 
 
-def _rejects(rule: str, known: set[str]) -> Column:
+def _measure(name: str, text: Column | None = None, words: Column | None = None) -> Column:
+    t, w = F.col("__text") if text is None else text, F.col("__words") if words is None else words
+    made = {
+        "n_words": lambda: F.size(w),
+        "word_chars": lambda: F.length(F.translate(t, _BLANKS, "")),
+        "n_symbols": lambda: F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+        "n_lines": lambda: F.size(_lines(t)),
+        "n_dup_lines": lambda: _let(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_repeat_words": lambda: repeated_words(w),
+    }
+    return made[name]().cast("long")
+
+
+def _rejects(rule: str, known: set[str], text: Column | None = None, words: Column | None = None) -> Column:
     """The rule's predicate, with those measures written out that aren't columns yet."""
     names, predicate = RULES[rule]
-    struct = F.struct(*[(F.col(n) if n in known else _measure(n)).alias(n) for n in names])
+    struct = F.struct(*[(F.col(n) if n in known else _measure(n, text, words)).alias(n) for n in names])
     return _let(struct, lambda m: _predicate(predicate, m))
 
 
@@ -179,11 +169,11 @@ def ordered(estimates: list[dict]) -> list[str]:
     return [e["rule"] for e in sorted(estimates, key=lambda e: -e["rejected"] / max(e["cost"], 1e-9))]
 
 
-def cascade(order: list[str], known: set[str]) -> Column:
+def cascade(order: list[str], known: set[str], text: Column | None = None, words: Column | None = None) -> Column:
     """True when no rule rejects; later rules aren't evaluated after a rejection."""
     out = F.lit(True)
     for rule in reversed(order):
-        out = F.when(_rejects(rule, known), F.lit(False)).otherwise(out)
+        out = F.when(_rejects(rule, known, text, words), F.lit(False)).otherwise(out)
     return out
 
 
@@ -205,5 +195,7 @@ def quality_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_good(df: DataFrame, text_col: str = "text", order: list[str] | None = None) -> DataFrame:
     """The rows of df that no rule rejects, with df's own columns."""
     order = order or ordered(estimate(df, text_col))
-    rows = _prepared(df, text_col).withColumn("__kept", cascade(order, set()))
-    return rows.filter("__kept").select(*[f"__c{i}" for i in range(len(df.columns))]).toDF(*df.columns)
+    text = F.coalesce(F.col(place(df, text_col)).cast("string"), F.lit(""))
+    # text and words are bound once a row: a filter is moved below projections with all that it refers to
+    both = F.struct(text.alias("t"), words_of(text).alias("w"))
+    return numbered(df).filter(_let(both, lambda s: cascade(order, set(), s["t"], s["w"]))).toDF(*df.columns)
