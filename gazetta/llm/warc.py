@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, picked, salted_left_join, written
+from .common import fresh_dir, picked, salted_left_join, shuffle_partitions, written
 
 FRAME_BYTES = 256 * 1024
 BUNDLE_BYTES = 32 * 1024 * 1024
@@ -222,7 +222,8 @@ def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
                             rows.append(describe(headers, block, payloads))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ.types, strict=True)], schema=_READ)
 
-    bundles = index.select("bundle").distinct()
+    # a bundle is a task's work, though its name is a small row that Spark would put with all others
+    bundles = index.select("bundle").distinct().repartition(shuffle_partitions(index.sparkSession), "bundle")
     return bundles.mapInArrow(read, READ)
 
 
