@@ -1,15 +1,15 @@
 """SimHash near-deduplication with BK-trees.
 
-Fingerprints that differ in at most `radius` bits agree on all bits of at least
-one of radius + 1 blocks, so the trees are sharded by (block, its bits): a
+Fingerprints that differ in at most `radius` bits agree on all bits of at least e of
+radius + e blocks, so the trees are sharded by (e blocks, their bits): a
 pair within the radius meets in a shard, and a shard only holds fingerprints
-that share a block. In each shard a BK-tree is built, whose children are
+that share those bits. In each shard a BK-tree is built, whose children are
 keyed by their Hamming distance to the parent, and every member is looked up along
 the edges within the radius of its own distance. Trees and their queries meet by
 a shuffle on the shard; sending all trees to all tasks would grow with the corpus.
 
-Equal fingerprints are one node. A shard beyond `SHARD` members is dealt anew by a
-further block of the remaining bits, and what is still too large is looked up in blocks
+Equal fingerprints are one node. A shard beyond `SHARD` members is dealt anew by
+further parts of the remaining bits, and what is still too large is looked up in blocks
 of tree and query members, so that no task holds more than two blocks; only
 links that join parts leave a task. The links are then contracted to
 components by passing on the smallest identifiers.
@@ -18,7 +18,8 @@ components by passing on the smallest identifiers.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import combinations, pairwise
+from math import comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, numbered, place, salted_left_join, shuffle_partitions, written
+from .common import id_and_text, salted_left_join, shuffle_partitions, written
 
 BITS = 64
 #: Members of a shard beyond which it is dealt anew.
@@ -141,11 +142,23 @@ def _bits(fp: Column, first: int, count: int) -> Column:
     return F.call_function("shiftrightunsigned", fp, F.lit(first)).bitwiseAND(F.lit((1 << count) - 1).cast("long"))
 
 
-def _blocks(first: int, count: int, parts: int) -> list[tuple[int, int]]:
-    cuts = [first + count * i // parts for i in range(parts + 1)]
+def _blocks(parts: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of `parts` blocks."""
+    cuts = [BITS * i // parts for i in range(parts + 1)]
     return [(a, b - a) for a, b in pairwise(cuts)]
 
 
+def scheme(count: int, radius: int) -> tuple[int, int]:
+    """(blocks, equal): fingerprints within the radius agree on `equal` of so many blocks.
+
+    The fewest combinations whose agreeing bits tell `count` fingerprints apart, but for a
+    factor of eight; with more fingerprints the shards get more bits, not more members.
+    """
+    need = max(1.0, log2(max(2, count)) - 3)
+    usable = [(m, m - radius) for m in range(radius + 1, min(BITS, radius + 33) + 1) if BITS * (m - radius) / m >= need]
+    return min(usable or [(min(BITS, radius + 33), min(BITS, radius + 33) - radius)], key=lambda x: comb(*x))
+
+
 #: Rows of whole shards that are searched together.
 _TOGETHER = 32_768
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -199,27 +212,28 @@ def links(nodes: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
     `nodes` has distinct fingerprints in a column fp.
     """
     fp = F.col("fp")
-    first = _blocks(0, BITS, radius + 1)
-    keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _bits(fp, *b).alias("bits")) for i, b in enumerate(first)])).alias("k"))
-    keyed = keyed.select("fp", F.xxhash64("k.block", "k.bits").alias("key"), F.col("k.block").alias("block"))
+    parts, equal = scheme(nodes.count(), radius)
+    blocks = _blocks(parts)
+    ways = [*combinations(range(parts), equal)]
+    keys = F.array(*[F.struct(F.lit(w).alias("way"), F.xxhash64(F.lit(w), *[_bits(fp, *blocks[i]) for i in way]).alias("key")) for w, way in enumerate(ways)])
+    keyed = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.key", "k.way")
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = written(salted_left_join(keyed, counts, "key").filter("n > 1").select("fp", "key", "block", "n"), "shards")
+    met = written(salted_left_join(keyed, counts, "key").filter("n > 1").select("fp", "key", "way", "n"), "shards")
     cold = met.filter(F.col("n") <= shard).select("fp", "key")
-    hot = met.filter(F.col("n") > shard)
-    inner = []
-    for i, (start, count) in enumerate(first):
-        rest = [b for j, (s, c) in enumerate(first) if j != i for b in _blocks(s, c, 2)] if len(first) > 1 else _blocks(start, count, 2)
-        # the bits outside block i differ in at most `radius` places, so one of radius + 1 of these parts is equal
-        groups = [rest[j :: radius + 1] for j in range(radius + 1)]
-        for j, g in enumerate(groups):
-            inner.append(F.when(F.col("block") == i, F.xxhash64("key", F.lit(j), *[_bits(fp, *b) for b in g])))
-    spread = hot.select("fp", F.explode(F.array_compact(F.array(*inner))).alias("key"))
-    again = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = salted_left_join(spread, again, "key").filter("n > 1")
-    small = again.filter(F.col("n") <= shard).select("fp", "key")
+    # the other blocks' bits differ in at most `radius` places: dealt to radius + 1 groups of bits, one group is equal
+    again = F.lit(None).cast("array<bigint>")
+    for w, way in enumerate(ways):
+        halves = [h for i, (s, c) in enumerate(blocks) if i not in way for h in ((s, c // 2), (s + c // 2, c - c // 2))]
+        groups = [halves[j :: radius + 1] for j in range(radius + 1)]
+        more = F.array(*[F.xxhash64("key", F.lit(j), *[_bits(fp, *h) for h in g]) for j, g in enumerate(groups)])
+        again = F.when(F.col("way") == w, more).otherwise(again)
+    spread = met.filter(F.col("n") > shard).select("fp", F.explode(again).alias("key"))
+    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    second = salted_left_join(spread, sizes, "key").filter("n > 1")
+    small = second.filter(F.col("n") <= shard).select("fp", "key")
     # what is still hot: tree blocks times query blocks, each pair of blocks once
     k = F.ceil(F.col("n") / F.lit(shard // 2)).cast("int")
-    large = again.filter(F.col("n") > shard).select("fp", "key", k.alias("k"), F.pmod(F.xxhash64("fp", "key"), k).cast("int").alias("own"))
+    large = second.filter(F.col("n") > shard).select("fp", "key", k.alias("k"), F.pmod(F.xxhash64("fp", "key"), k).cast("int").alias("own"))
     pairs = large.select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     cells = pairs.select(
         "fp",
@@ -274,16 +288,3 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = classes.filter("n > 1 OR NOT component_id <=> least").select("fp", "component_id")
     joined = rows.join(shared, "fp", "left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of df with the smallest id of their component, with df's columns.
-
-    Of rows that repeat that id the first of the component by content stays; rows
-    without an id go when their component has one, and one of them stays otherwise.
-    """
-    found = simhash_components(df, id_col, text_col, words, radius)
-    keep = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    rows, at = numbered(df), place(df, id_col)
-    kept = rows.join(keep, F.col(at).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([at]).toDF(*df.columns)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gazetta.llm import bpe, exact_dedup, html, packing, pii, quality, secrets, sharding, simhash, warc
+from gazetta.llm import bpe, exact_dedup, html, near_dedup, packing, pii, quality, secrets, sharding, simhash, warc
 from gazetta.llm.queries import tokenizer_path
 
 from .helpers import BLANK, ODD, PROSE, components, documents, measures, spans
@@ -34,7 +34,7 @@ def texts_of(df):
         lambda d: packing.pack_documents(d, BYTE), lambda d: bpe.encode_digests(d, WORD), lambda d: bpe.encode_documents(d, WORD),
         exact_dedup.exact_duplicates, exact_dedup.drop_exact_duplicates, secrets.scan_secrets, secrets.redact_secrets,
         sharding.stratified_shards, quality.quality_measures, quality.keep_good, simhash.simhash_components,
-        simhash.drop_near_duplicates, pii.replace_personal_data, lambda d: warc.warc_round_trip(d, None, "doc_id", "lang", "text"),
+        near_dedup.drop_near_duplicates, pii.replace_personal_data, lambda d: warc.warc_round_trip(d, None, "doc_id", "lang", "text"),
         lambda d: html.extract_text(d, "doc_id", "lang", "text"),
     ],
 )
@@ -239,8 +239,51 @@ def test_simhash(odd):
     for r in rows:
         if r.doc_id is not None and [d for d, _ in texts_of(odd)].count(r.doc_id) == 1:
             assert r.component_id == want[r.doc_id]
-    kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= set(want.values())
+
+
+def shingles(text, n=5):
+    w = [x for x in BLANK.split("".join(c.lower() if c.isascii() else c for c in text or "")) if x]
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+
+def greedy(rows, radius=6, least=0.8):
+    """Components of fingerprints, then leaders in the order of ids."""
+    prints = {k: brute_fingerprint(t) for k, (_, t) in enumerate(rows)}
+    part = components([*prints], lambda i, j: (prints[i] ^ prints[j]).bit_count() <= radius)
+    kept = []
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)):
+        a = shingles(rows[k][1])
+        if not any(part[j] == part[k] and (len(a & b) / len(a | b) if a | b else 1) >= least for j, b in kept):
+            kept.append((k, a))
+    return sorted((rows[k] for k, _ in kept), key=str)
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for base in range(6):
+        text = [rng.choice(vocabulary) for _ in range(300)]
+        for copy in range(9):
+            edited = [rng.choice(vocabulary) if rng.random() < copy * 0.006 else w for w in text]
+            rows.append((100 * base + copy, " ".join(edited)))
+    rows += [(2000 + i, " ".join(rng.choice(vocabulary) for _ in range(200))) for i in range(10)] + [(3000, None), (3001, ""), (None, "w1 w2")]
+    df = documents(spark, rows).repartition(3)
+    for shard in (4096, 8):
+        got = near_dedup.drop_near_duplicates(df, shard=shard)
+        assert got.columns == df.columns
+        assert sorted(texts_of(got), key=str) == greedy(rows)
+    assert len(greedy(rows)) < len(rows) - 10
+    twice = documents(spark, [*rows, rows[0], rows[-4]])
+    assert sorted(texts_of(near_dedup.drop_near_duplicates(twice)), key=str) == greedy(rows)
+
+
+def test_block_schemes():
+    for n in (10, 10**4, 10**7, 10**10):
+        for r in (0, 1, 2, 3, 6):
+            m, e = simhash.scheme(n, r)
+            assert m - e == r and e >= 1
+    assert simhash.scheme(10**5, 2) == (3, 1)
 
 
 def test_fingerprints_agree_with_the_engine(spark):

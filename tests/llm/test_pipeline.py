@@ -5,10 +5,11 @@ import random
 import corpus_pipeline
 import pytest
 
-from gazetta.llm import packing, quality, simhash
+from gazetta.llm import packing, quality
 from gazetta.llm.queries import QUERIES, tokenizer_path
 
 from .helpers import BLANK, PROSE, documents, measures, spans
+from .test_operators import greedy
 
 
 def accepted(text):
@@ -39,8 +40,7 @@ def test_stages_against_brute_force(spark, folder):
         if key not in best or (-len(t), d) < (-len(best[key][1]), best[key][0]):
             best[key] = (d, t)
     want = sorted(best.values())
-    prints = {d: simhash.fingerprint(t) for d, t in want}
-    want = [(d, t) for d, t in want if not any(e < d and (prints[e] ^ prints[d]).bit_count() <= 2 for e in prints)]
+    want = greedy(want)
     final = []
     for d, t in want:
         out, at = "", 0
