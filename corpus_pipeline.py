@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from gazetta.llm.common import fresh_dir, table
 from gazetta.llm.exact_dedup import drop_exact_duplicates
+from gazetta.llm.near_dedup import drop_near_duplicates
 from gazetta.llm.packing import pack_documents
 from gazetta.llm.quality import keep_good
 from gazetta.llm.queries import tokenizer_path
 from gazetta.llm.secrets import redact_secrets
-from gazetta.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal fingerprints stays."""
+    """One document of each group stays: SimHash gathers the candidates, and
+    those go whose five-word shingles are 0.8 or more alike to a kept one's."""
     return drop_near_duplicates(docs)
 
 
