@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import numbered, place, salted_left_join, written
 from .quality import words_of
 from .simhash import SHARD, components, fingerprint, links
 
+#: Documents of a component that a round decides among themselves.
+LEADERS = 32
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,24 +68,34 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int, radiu
     several = written(once.join(shared, "fp").select("uid", "doc", "part"), "candidates")
     texts = rows.select("uid", "text").join(several, "uid").dropDuplicates(["uid"])
     left = written(texts.select("uid", "doc", "part", shingle_set(F.col("text"), shingle).alias("set")), "shingles")
-    gone = None
-    while True:
-        # the first by id, then by content; a null id comes last
-        order = F.struct(F.col("doc").isNull().alias("x"), F.coalesce("doc", F.lit(0)).alias("doc"), "uid")
-        leader = left.groupBy("part").agg(F.min(order)["uid"].alias("uid"), F.count(F.lit(1)).alias("n"))
-        leader = written(leader.filter("n > 1").select("part", "uid"), "leaders")
-        if leader.isEmpty():
-            break
-        first = left.join(leader.select("uid"), "uid").select("part", F.col("uid").alias("__leader"), F.col("set").alias("__set"))
-        compared = written(salted_left_join(left, first, "part", 8).filter("__leader IS NOT NULL AND uid <> __leader").withColumn("near", jaccard(F.col("set"), F.col("__set")) >= least).drop("__set", "__leader"), "compared")
-        found = compared.filter("near").select("uid")
-        gone = found if gone is None else gone.unionByName(found)
-        left = compared.filter("NOT near").drop("near")
-    if gone is None:
-        gone = several.select("uid").limit(0)
+    gone = several.select("uid").limit(0)
+    while not left.isEmpty():
+        found, left = _round(left, least)
+        gone = gone.unionByName(found)
     return gone, once.filter("n > 1").select("uid")
 
 
+def _round(left: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(uid of those that are found to go, those that are still undecided)."""
+    first = Window.partitionBy("part").orderBy(F.col("doc").asc_nulls_last(), "uid")
+    leaders = left.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= LEADERS)
+    leaders = written(leaders.select("uid", "part", "r", "set"), "leaders")
+    a, b = leaders.alias("a"), leaders.alias("b")
+    pairs = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.r") < F.col("b.r")))
+    like = pairs.filter(jaccard(F.col("a.set"), F.col("b.set")) >= least).groupBy(F.col("b.part").alias("part"), F.col("b.r").alias("r")).agg(F.collect_set("a.r").alias("like"))
+    none = F.expr("cast(array() as array<int>)")
+    rows = leaders.join(like, ["part", "r"], "left").withColumn("like", F.coalesce("like", none))
+    rows = rows.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("r", "uid", "like", "set"))).alias("rows"))  # LEADERS at most
+    kept = F.aggregate("rows", none, lambda k, x: F.when(F.arrays_overlap(k, x["like"]), k).otherwise(F.concat(k, F.array(x["r"]))))
+    decided = written(rows.withColumn("kept", kept), "decided")
+    gone = decided.select(F.explode(F.filter("rows", lambda x: ~F.array_contains("kept", x["r"]))).alias("x")).select("x.uid")
+    sets = decided.select("part", F.transform(F.filter("rows", lambda x: F.array_contains("kept", x["r"])), lambda x: x["set"]).alias("__sets"))
+    others = left.join(leaders.select("uid"), "uid", "left_anti")
+    near = F.exists("__sets", lambda s: jaccard(F.col("set"), s) >= least)
+    compared = written(salted_left_join(others, sets, "part", 8).withColumn("near", near).drop("__sets"), "compared")
+    return gone.unionByName(compared.filter("near").select("uid")), compared.filter("NOT near").drop("near")
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = numbered(df)
     text = F.coalesce(F.col(place(df, text_col)).cast("string"), F.lit(""))

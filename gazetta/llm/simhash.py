@@ -218,7 +218,7 @@ def links(nodes: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(w).alias("way"), F.xxhash64(F.lit(w), *[_bits(fp, *blocks[i]) for i in way]).alias("key")) for w, way in enumerate(ways)])
     keyed = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.key", "k.way")
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = written(salted_left_join(keyed, counts, "key").filter("n > 1").select("fp", "key", "way", "n"), "shards")
+    met = written(keyed.join(counts, "key").select("fp", "key", "way", "n"), "shards")  # a hot key is split by the skew join
     cold = met.filter(F.col("n") <= shard).select("fp", "key")
     # the other blocks' bits differ in at most `radius` places: dealt to radius + 1 groups of bits, one group is equal
     again = F.lit(None).cast("array<bigint>")
@@ -229,7 +229,7 @@ def links(nodes: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
         again = F.when(F.col("way") == w, more).otherwise(again)
     spread = met.filter(F.col("n") > shard).select("fp", F.explode(again).alias("key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    second = salted_left_join(spread, sizes, "key").filter("n > 1")
+    second = spread.join(sizes, "key")
     small = second.filter(F.col("n") <= shard).select("fp", "key")
     # what is still hot: tree blocks times query blocks, each pair of blocks once
     k = F.ceil(F.col("n") / F.lit(shard // 2)).cast("int")
