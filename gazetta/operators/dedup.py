@@ -91,3 +91,34 @@ def name_audit(places: DataFrame, terms: dict[str, list[str]], name: str = "name
     hits = F.array_compact(F.array(*[F.when(F.size(text.any_of(F.col(name), words)) > 0, F.lit(rule)) for rule, words in terms.items()]))
     strongest = F.array(*[text.term_strength(F.col(name), w) for words in terms.values() for w in words])
     return places.select("id", name, hits.alias("rules"), text.risk(strongest).alias("risk"))
+
+
+def prefix_matches(places: DataFrame, least: int = 2) -> DataFrame:
+    """Places whose name begins with a committee's name: id, name, candidate, remaining, status.
+
+    A place's own committee is tried first ('own'), then the others of its township: the
+    longest one that leaves enough of the name ('other'), unless another one that doesn't
+    begin it is as long ('review'). A remainder that is a bare administrative ending is 'skipped'.
+    """
+    bare = places.select("id", "name", "township", text.admin_base(F.col("committee")).alias("own"))
+    parents = bare.select(F.col("township").alias("__t"), F.col("own").alias("other")).filter("other IS NOT NULL AND other <> ''").distinct()
+
+    def begins(c: str) -> Column:
+        return F.startswith("name", c) & (F.length("name") - F.length(c) >= least) & (F.length(c) >= least)
+
+    met = bare.join(parents, F.col("township").eqNullSafe(F.col("__t")) & begins("other"), "left")
+    best = F.max(F.when(F.col("other").isNotNull(), F.struct(F.length("other").alias("n"), "other")))
+    grouped = met.groupBy("id", "name", "own").agg(best["other"].alias("other"), F.count_if(F.length("other") >= least).alias("matches"))
+    own = F.coalesce(begins("own"), F.lit(False))
+    candidate = F.when(own, F.col("own")).otherwise(F.col("other"))
+    out = grouped.withColumn("candidate", candidate).filter("candidate IS NOT NULL")
+    out = out.withColumn("remaining", F.substring("name", F.length("candidate") + 1, F.length("name")))
+    ending = F.col("remaining").isin(*text.ADMIN_SUFFIXES)
+    status = F.when(ending, "skipped").when(own, "own").when(F.col("matches") > 1, "review").otherwise("other")
+    return out.select("id", "name", "candidate", "remaining", status.alias("status"))
+
+
+def prefix_proposal(a: Column, b: Column, admin: Column) -> Column:
+    """Which of two names to keep when one is the other with its parish name before it: 'a', 'b' or null."""
+    parish = text.admin_base(admin)
+    return F.when(a == F.concat(parish, b), "b").when(b == F.concat(parish, a), "a").when(a == F.concat(admin, b), "b").when(b == F.concat(admin, a), "a")

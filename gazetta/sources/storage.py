@@ -106,3 +106,16 @@ def install_views(spark: SparkSession, views: dict[str, tuple[DataFrame, dict[st
     """Temporary views with logical column names: name -> (table, logical -> expression)."""
     for name, (df, columns) in views.items():
         df.select(*[F.expr(e).alias(c) for c, e in columns.items()]).createOrReplaceTempView(name)
+
+
+def export_excel(sheets: dict[str, DataFrame], path: str, most_rows: int = 100_000) -> None:
+    """A workbook with a sheet per table, up to a row limit; needs an Excel writer for pandas."""
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("writing workbooks needs openpyxl") from e
+    import pandas as pd
+
+    with pd.ExcelWriter(path) as out:
+        for name, df in sheets.items():
+            df.limit(most_rows).toPandas().to_excel(out, sheet_name=name[:31], index=False)

@@ -86,3 +86,43 @@ def test_lexicon_growth(spark):
     assert expansion.similar_categories(lex, e, -1.0).count() == 1
     assert [r[0] for r in expansion.unclassified(lex, {"natural": ["hill"]}).collect()] == ["water"]
     assert expansion.char_coverage(e.select("char"), lex).first()["labelled"] == 3
+
+
+def test_result_cache(spark):
+    from gazetta.operators.runtime import ResultCache
+
+    now = [0.0]
+    cache = ResultCache(10, 2, lambda: now[0])
+    made = []
+
+    def make(n):
+        made.append(n)
+        return spark.range(n)
+
+    assert cache.get("r", make, n=3).count() == cache.get("r", make, n=3).count() == 3
+    now[0] = 11.0
+    cache.get("r", make, n=3)
+    cache.get("r", make, n=4)
+    cache.get("r", make, n=5)
+    assert made == [3, 3, 4, 5] and cache.stats() == {"entries": 2, "hits": 1, "misses": 4}
+    cache.clear()
+
+
+def test_time_limit(spark):
+    from gazetta.operators.runtime import within
+
+    assert within(spark, 60, lambda: spark.range(5).count()) == 5
+    slow = spark.range(40_000_000_000, numPartitions=4).agg(F.max(F.xxhash64(F.xxhash64("id"))))
+    with pytest.raises(TimeoutError):
+        within(spark, 2, lambda: slow.collect())
+
+
+def test_prefix_matching(spark):
+    from gazetta.operators import dedup
+
+    rows = [(1, "t", "石桥村", "石桥东头"), (2, "t", "李家村", "石桥西头"), (3, "t", "李家村", "石桥村"), (4, "u", "王家村", "石桥北头"), (5, "t", "李家村", "李家石桥头")]
+    p = spark.createDataFrame(rows, "id long, township string, committee string, name string")
+    got = {r["id"]: (r["candidate"], r["remaining"], r["status"]) for r in dedup.prefix_matches(p, least=2).collect()}
+    assert got == {1: ("石桥", "东头", "own"), 2: ("石桥", "西头", "other"), 5: ("李家", "石桥头", "own")}
+    a = spark.createDataFrame([("石桥东头", "东头", "石桥村")], "a string, b string, m string")
+    assert a.select(dedup.prefix_proposal(F.col("a"), F.col("b"), F.col("m"))).first()[0] == "b"
