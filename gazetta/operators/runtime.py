@@ -55,15 +55,15 @@ class ResultCache:
 
 def within(spark: SparkSession, seconds: float, run: Callable[[], object]):
     """The result of run(); its Spark jobs are cancelled if it takes longer."""
-    tag = f"limit-{uuid.uuid4().hex}"
+    group, context = f"limit-{uuid.uuid4().hex}", spark.sparkContext
     over = threading.Event()
 
     def stop() -> None:
         over.set()
-        spark.interruptTag(tag)
+        context.cancelJobGroup(group)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    context.setJobGroup(group, "limited in time", interruptOnCancel=True)
     timer.start()
     try:
         return run()
@@ -73,7 +73,7 @@ def within(spark: SparkSession, seconds: float, run: Callable[[], object]):
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def analyse(spark: SparkSession, names: list[str]) -> list[str]:

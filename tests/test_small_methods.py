@@ -112,7 +112,7 @@ def test_time_limit(spark):
     from gazetta.operators.runtime import within
 
     assert within(spark, 60, lambda: spark.range(5).count()) == 5
-    slow = spark.range(40_000_000_000, numPartitions=4).agg(F.max(F.xxhash64(F.xxhash64("id"))))
+    slow = spark.range(400_000_000_000, numPartitions=4).agg(F.max(F.xxhash64(F.xxhash64("id"))))
     with pytest.raises(TimeoutError):
         within(spark, 2, lambda: slow.collect())
 
