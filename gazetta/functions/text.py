@@ -112,6 +112,11 @@ def admin_base(name: Column, suffixes: tuple[str, ...] = ADMIN_SUFFIXES, least:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluates `value` once for all its uses in `body`."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def clean_prefix(natural: Column, admin: Column, least: int = 2) -> Column:
     """struct<name, removed, rule>: the village name without the parish name before it.
 
@@ -119,43 +124,37 @@ def clean_prefix(natural: Column, admin: Column, least: int = 2) -> Column:
     prefix equal to the parish name, bare or with a delimiter or qualified, goes. A
     remainder shorter than `least` ends the search and keeps the name.
     """
-    name, parish = F.trim(F.coalesce(natural, F.lit(""))), F.trim(F.coalesce(admin, F.lit("")))
-    length = F.length(name)
-
-    # the last delimiter that has something before it; where two end at one place the first listed counts
-    ends = []
-    for d in DELIMITERS:
-        last = length - F.instr(F.reverse(name), d[::-1]) + 1 - len(d)  # characters before it
-        found = (F.instr(name, d) > 0) & (last > 0)
-        ends.append(F.when(found, F.struct(last.alias("before"), F.lit(-DELIMITERS.index(d)).alias("order"), (last + len(d)).alias("end"))))
-    cut = F.greatest(*ends)["end"]
-    after = F.substring(name, cut + 1, length)
-    rule1 = cut.isNotNull() & (F.length(after) >= least)
-
-    bare = without_delimiters(parish)
-    candidates: list[tuple[Column, str]] = []
-    for m in ("", *MODIFIERS):
-        for d in (*DELIMITERS, ""):
-            candidates.append((F.concat(F.lit(m), bare, F.lit(d)), "rule3_modifier" if m else "rule2_admin_match"))
-    swapped = []
-    for a, b in HOMOPHONES:
-        swapped += [F.replace(bare, F.lit(a), F.lit(b)), F.replace(bare, F.lit(b), F.lit(a))]
-    candidates += [(s, "rule2_admin_match") for s in swapped]
-    hit = F.lit(None).cast("string")
-    rule = F.lit(None).cast("string")
-    for text, label in reversed(candidates):
-        starts = (F.length(bare) >= least) & name.startswith(text) & (length > F.length(text))
-        label_col = F.when(name.startswith("大") | name.startswith("小"), F.lit("rule3_modifier")).otherwise(F.lit(label)) if label != "rule2_admin_match" else F.lit(label)
-        hit, rule = F.when(starts, text).otherwise(hit), F.when(starts, label_col).otherwise(rule)
-    rest = F.substring(name, F.length(hit) + 1, length)
-    rule2 = hit.isNotNull() & (F.length(rest) >= least)
-
-    same = name == parish
-    return F.struct(
-        F.when(same, name).when(rule1, after).when(rule2, rest).otherwise(name).alias("name"),
-        F.when(same, F.lit("")).when(rule1, F.substring(name, F.lit(1), cut)).when(rule2, hit).otherwise(F.lit("")).alias("removed"),
-        F.when(same, F.lit("rule5_identical")).when(rule1, F.lit("rule1_delimiter")).when(rule2, rule).otherwise(F.lit("none")).alias("rule"),
-    )
+    both = F.struct(F.trim(F.coalesce(natural, F.lit(""))).alias("name"), F.trim(F.coalesce(admin, F.lit(""))).alias("parish"))
+
+    def with_bare(s: Column) -> Column:
+        return _let(without_delimiters(s["parish"]), lambda bare: with_hit(s["name"], s["parish"], bare))
+
+    def with_hit(name: Column, parish: Column, bare: Column) -> Column:
+        texts = [F.concat(F.lit(m), bare, F.lit(d)) for m in ("", *MODIFIERS) for d in (*DELIMITERS, "")]
+        for a, b in HOMOPHONES:
+            texts += [F.replace(bare, F.lit(a), F.lit(b)), F.replace(bare, F.lit(b), F.lit(a))]
+        fits = F.filter(F.array(*texts), lambda t: (F.length(bare) >= least) & F.startswith(name, t) & (F.length(name) > F.length(t)))
+        # the last delimiter that has something before it; where two end at one place the first listed counts
+        ends = []
+        for k, d in enumerate(DELIMITERS):
+            before = F.length(name) - F.instr(F.reverse(name), d[::-1]) + 1 - len(d)
+            ends.append(F.when((F.instr(name, d) > 0) & (before > 0), F.struct(before.alias("before"), F.lit(-k).alias("order"), (before + len(d)).alias("end"))))
+        found = F.struct(F.get(fits, 0).alias("hit"), F.greatest(*ends)["end"].alias("cut"))
+        return _let(found, lambda f: decided(name, parish, f["hit"], f["cut"]))
+
+    def decided(name: Column, parish: Column, hit: Column, cut: Column) -> Column:
+        length = F.length(name)
+        rule1 = cut.isNotNull() & (length - cut >= least)
+        rule2 = hit.isNotNull() & (length - F.length(hit) >= least)
+        label = F.when(F.substring(hit, 1, 1).isin(*MODIFIERS), "rule3_modifier").otherwise("rule2_admin_match")
+        same = name == parish
+        return F.struct(
+            F.when(same, name).when(rule1, F.substring(name, cut + 1, length)).when(rule2, F.substring(name, F.length(hit) + 1, length)).otherwise(name).alias("name"),
+            F.when(same, F.lit("")).when(rule1, F.substring(name, F.lit(1), cut)).when(rule2, hit).otherwise(F.lit("")).alias("removed"),
+            F.when(same, F.lit("rule5_identical")).when(rule1, F.lit("rule1_delimiter")).when(rule2, label).otherwise(F.lit("none")).alias("rule"),
+        )
+
+    return _let(both, with_bare)
 
 
 def shared_ratio(a: Column, b: Column) -> Column:

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one per operator, with their SQL."""
 
-from . import frequency, geography, semantic
+from . import extras, frequency, geography, semantic
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "frequency", "geography", "semantic"]
+__all__ = ["ORACLES", "QUERIES", "extras", "frequency", "geography", "semantic"]
