@@ -71,8 +71,9 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 1
 
     Each left row takes one of `salts` values from its whole content, each right row
     is repeated for all of them, so a hot key meets `salts` tasks. `right`
-    must have one row per key; its other columns must be new names.
+    must have one row per key; its other columns must be new names. The sides are
+    merged, never broadcast: an estimate of the repeated side's size can be far too low.
     """
     dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*[left[c] for c in left.columns]), F.lit(salts)))
     spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return dealt.join(spread, [key, "__salt"], "left").drop("__salt")
+    return dealt.join(spread.hint("merge"), [key, "__salt"], "left").drop("__salt")
