@@ -11,16 +11,21 @@ from gazetta.functions import geo, text
 from gazetta.operators.graph import connected_components
 
 
-def block_pairs(places: DataFrame, keys: list[str], condition: Column, name: str = "name") -> DataFrame:
-    """Pairs a.id < b.id in a block whose names meet a condition on a.* and b.*.
+def deletions(name: Column) -> Column:
+    """The name and all names with one character left out: two names are within one
+    edit of each other only if they have one of these in common."""
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
+    return F.array_distinct(F.concat(F.array(name), cut))
 
-    A block is one administrative unit. Only names that share a token of the block's
-    blocking key meet: the first and the last character and the length class are
-    three ways to meet, so that a pair within one edit always does.
+
+def block_pairs(places: DataFrame, keys: list[str], condition: Column, name: str = "name", ways: Column | None = None) -> DataFrame:
+    """Pairs a.id < b.id in an administrative block whose names meet a condition on a.* and b.*.
+
+    Only names with one of their `ways` in common meet (an array column; names with
+    one character left out by default, which loses no pair within one edit).
     """
-    distinct = places.select("id", *keys, F.col(name).alias("name"))
-    ways = F.array_distinct(F.array(F.concat(F.lit("p"), F.substring("name", 1, 2)), F.concat(F.lit("s"), F.substring("name", -2, 2))))
-    rows = distinct.withColumn("__way", F.explode(ways))
+    distinct = places.select("id", *keys, F.col(name).alias("name"), (deletions(F.col(name)) if ways is None else ways).alias("__ways"))
+    rows = distinct.withColumn("__way", F.explode("__ways")).drop("__ways")
     a, b = rows.alias("a"), rows.alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__way"]])
     met = a.join(b, same & (F.col("a.id") < F.col("b.id")) & condition)
