@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazetta.functions import geo, text
+from gazetta.functions import text
 from gazetta.operators.graph import connected_components
+from gazetta.operators.spatial import neighbours
 
 
 def deletions(name: Column) -> Column:
@@ -56,13 +57,15 @@ def fuzzy_severity(rules: Column, km: Column) -> Column:
     return F.when(F.array_contains(rules, "one_edit") & (km <= 0.5), "high").when(F.array_contains(rules, "shared_characters") & (km <= 1), "medium").otherwise("none")
 
 
-def same_name_components(points: DataFrame, keys: list[str], most_km: float, name: str = "name") -> DataFrame:
-    """(id, root) of places with equal names in a block, linked within a distance."""
-    a, b = points.alias("a"), points.alias("b")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, name]])
-    near = geo.haversine_km(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) <= most_km
-    links = a.join(b, same & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    return connected_components(points.select(F.col("id").alias("node")), links).withColumnRenamed("node", "id")
+def same_name_components(points: DataFrame, keys: list[str], most_km: float, name: str = "name", most_latitude: float = 54.0) -> DataFrame:
+    """(id, root) of places with equal names in a block, linked within a distance.
+
+    Places meet by block, name and grid cell, so that a common name costs what its
+    neighbourhoods hold, not its square. A null key is a key of its own.
+    """
+    whole = points.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in [*keys, name]})
+    near = neighbours(whole, whole, most_km, most_latitude, on=(*keys, name)).filter("a < b")
+    return connected_components(points.select(F.col("id").alias("node")), near.select("a", "b")).withColumnRenamed("node", "id")
 
 
 def survivors(df: DataFrame, root: str, order: list[Column]) -> DataFrame:

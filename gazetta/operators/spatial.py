@@ -27,15 +27,16 @@ def cell_sizes(radius_km: float, most_latitude: float) -> tuple[float, float]:
     return height / max(0.01, cos(radians(min(89.0, most_latitude + height)))), height
 
 
-def neighbours(left: DataFrame, right: DataFrame, radius_km: float, most_latitude: float = 54.0, planar: bool = False) -> DataFrame:
-    """(a, b, km): points of `right` within the radius of points of `left`, itself included."""
+def neighbours(left: DataFrame, right: DataFrame, radius_km: float, most_latitude: float = 54.0, planar: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, km): points of `right` within the radius of points of `left`, itself included;
+    with `on`, only those that agree in these columns."""
     w, h = cell_sizes(radius_km, most_latitude)
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = left.select(F.col("id").alias("a"), F.col("lon").alias("__x"), F.col("lat").alias("__y"), F.explode(around).alias("__d"))
-    a = a.select("a", "__x", "__y", (geo.cell(F.col("__x"), w) + F.col("__d.i")).alias("__i"), (geo.cell(F.col("__y"), h) + F.col("__d.j")).alias("__j"))
-    b = right.select(F.col("id").alias("b"), F.col("lon").alias("__u"), F.col("lat").alias("__v"), geo.cell(F.col("lon"), w).alias("__i"), geo.cell(F.col("lat"), h).alias("__j"))
+    a = left.select(F.col("id").alias("a"), F.col("lon").alias("__x"), F.col("lat").alias("__y"), *on, F.explode(around).alias("__d"))
+    a = a.select("a", "__x", "__y", *on, (geo.cell(F.col("__x"), w) + F.col("__d.i")).alias("__i"), (geo.cell(F.col("__y"), h) + F.col("__d.j")).alias("__j"))
+    b = right.select(F.col("id").alias("b"), *on, F.col("lon").alias("__u"), F.col("lat").alias("__v"), geo.cell(F.col("lon"), w).alias("__i"), geo.cell(F.col("lat"), h).alias("__j"))
     measure = geo.planar_km if planar else geo.haversine_km
-    met = a.join(b, ["__i", "__j"]).withColumn("km", measure(F.col("__x"), F.col("__y"), F.col("__u"), F.col("__v")))
+    met = a.join(b, ["__i", "__j", *on]).withColumn("km", measure(F.col("__x"), F.col("__y"), F.col("__u"), F.col("__v")))
     return met.filter(F.col("km") <= radius_km).select("a", "b", "km")
 
 
