@@ -53,31 +53,83 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+#: Matches or spans that are placed together. Blocks keep the cost of a text with very
+#: many of them near the number, where one list that grows by one each would cost its square.
+_BLOCK = 256
+
+
+def _blocks(n: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int"))
+
+
 def rule_spans(text: Column, rule: Rule, at: int) -> Column:
     """Spans in code points. The texts between matches give their places."""
     pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    none = F.expr(_NONE)
 
     def placed(m: Column) -> Column:
-        between = F.split(text, rule.pattern, -1)
-        size = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else m
+        between = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
+        size = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else m, lambda x: F.length(x))
+        lengths = F.struct(between.alias("b"), F.transform(m, lambda x: F.length(x)).alias("m"), size.alias("g"))
+        return F.when(F.size(m) == 0, none).otherwise(_let(lengths, walked))
+
+    def walked(x: Column) -> Column:
+        n = F.size(x["m"])
+
+        def length_of(k: Column) -> Column:
+            both = F.concat(F.slice(x["b"], k * _BLOCK + 1, F.least(F.lit(_BLOCK), n - k * _BLOCK)), F.slice(x["m"], k * _BLOCK + 1, F.lit(_BLOCK)))
+            return F.aggregate(both, F.lit(0), lambda s, v: s + v)
+
+        state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        starts = F.aggregate(_blocks(n), state, lambda a, k: F.struct((a["at"] + length_of(k)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+        def add(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.get(x["b"], i)
+            end = start + F.get(x["m"], i)
+            one = F.struct(start.alias("start"), F.lit(at).alias("at"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+            more = F.when(F.get(x["g"], i) >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+            return F.struct(end.alias("at"), more.alias("out"))
+
+        def block(k: Column, start: Column) -> Column:
+            inside = F.sequence(k * _BLOCK, F.least(n, (k + 1) * _BLOCK) - 1)
+            return F.aggregate(inside, F.struct(start.alias("at"), none.alias("out")), add, lambda a: a["out"])
+
+        return F.flatten(F.zip_with(_blocks(n), starts, block))
 
-        def step(b: Column, g: Column):
-            def add(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.length(F.get(b, i))
-                end = start + F.length(F.get(m, i))
-                one = F.struct(start.cast("int").alias("start"), F.lit(at).alias("at"), end.cast("int").alias("end"), F.lit(rule.kind).alias("kind"))
-                more = F.when(F.length(F.get(g, i)) >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-                return F.struct(end.cast("int").alias("at"), more.alias("out"))
+    return _let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)
 
-            return add
 
-        state = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
-        both = F.struct(between.alias("b"), size.alias("g"))
-        walked = _let(both, lambda x: F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), state, step(x["b"], x["g"]), lambda a: a["out"]))
-        return F.when(F.size(m) == 0, F.expr(_NONE)).otherwise(walked)
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """The text with each run of overlapping spans (sorted by start) replaced by the mark."""
+    n = F.size(spans)
 
-    return _let(found, placed)
+    def part(k: Column) -> Column:
+        return F.slice(spans, k * _BLOCK + 1, F.lit(_BLOCK))
+
+    def reached(a: Column, k: Column) -> Column:
+        far = F.greatest(a["at"], F.array_max(F.transform(part(k), lambda s: s["end"])))
+        return F.struct(far.alias("at"), F.concat(a["out"], F.array(far)).alias("out"))
+
+    reach = F.aggregate(_blocks(n), F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("out")), reached, lambda a: a["out"])
+
+    def rebuilt(ends: Column) -> Column:
+        def block(k: Column) -> Column:
+            base = F.get(ends, k)
+            segment = F.substring(text, base + 1, F.get(ends, k + 1) - base)
+            return _let(F.struct(base.alias("base"), segment.alias("text")), lambda y: F.aggregate(part(k), F.struct(y["base"].alias("at"), F.lit("").alias("out")), add(y), lambda a: a["out"]))
+
+        def add(y: Column):
+            def step(a: Column, s: Column) -> Column:
+                gap = F.substring(y["text"], a["at"] - y["base"] + 1, s["start"] - a["at"])
+                out = F.when(s["start"] >= a["at"], F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"])
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+
+            return step
+
+        rest = F.substring(text, F.array_max(ends) + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(_blocks(n), block), ""), rest)
+
+    return F.when(n == 0, text).otherwise(_let(reach, rebuilt))
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -143,14 +195,6 @@ def redact_secrets(df: DataFrame, ledger_path: str | None = None, text_col: str
     at = place(df, text_col)
     paths = numbered(df).withColumn("__text", F.coalesce(F.col(at).cast("string"), F.lit(""))).withColumn("blob", F.unhex(F.sha2("__text", 256)))
     rows = salted_left_join(paths, _hits(ledger), "blob")
-    text = F.col("__text")
-
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        apart = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", state, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    clean = masked(F.col("__text"), F.col("__spans"), mark)
     kept = F.when(F.col("__spans").isNull(), F.col(at)).otherwise(clean)
     return rows.select(*[kept if f"__c{i}" == at else F.col(f"__c{i}") for i in range(len(df.columns))]).toDF(*df.columns)

@@ -167,6 +167,30 @@ def test_redaction(odd):
     assert same <= set(texts_of(clean))
 
 
+def test_very_many_secrets_in_one_text(spark):
+    import time
+
+    rng = random.Random(9)
+    parts = []
+    for i in range(30_000):
+        parts.append(rng.choice([f"{rng.getrandbits(64):016x}", f"token={rng.getrandbits(80):020x}", "é日 words", f"api_key: {i}", "0123456789abcdefapi_key=abcdefghijklmnop"]))
+    text = " ".join(parts)
+    df = documents(spark, [text, text[:5000]])
+    began = time.time()
+    rows = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
+    assert time.time() - began < 60
+    for doc, t in ((10, text), (11, text[:5000])):
+        want = spans(t)
+        assert rows[doc].spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
+        out, at = [], 0
+        for a, _, b, _ in want:
+            if a >= at:
+                out += [t[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert clean[doc] == "".join(out) + t[at:]
+
+
 def test_shards(odd, spark):
     for df, n in ((odd, 16), (documents(spark, [PROSE] * 1000), 16), (odd, 3)):
         rows = sharding.stratified_shards(df, n).collect()
@@ -430,3 +454,11 @@ def test_surrogates_stay_distinct(spark):
     table = pii.entity_table(spark.createDataFrame([("email", m) for _, m in made], "kind string, core string"), "k").collect()
     assert len({r.surrogate for r in table}) == len(table) == 400
     assert not {r.surrogate for r in table} & {r.core for r in table}
+
+
+def test_plain_splitting_is_exact():
+    """str.split() cuts at nothing but what the tokenizer drops, four characters apart."""
+    model = bpe.bpe(WORD)
+    spaces = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
+    for c in spaces:
+        assert (model.tokenizer.normalizer.normalize_str(f"a{c}b") == "a b") == (c not in bpe._KEPT)
