@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 CJK_MAIN = r"\x{4E00}-\x{9FFF}"
 CJK_ALL = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2EBEF}"
 
-#: Fixed word lists of the prefix rules: what ends a parish name, and what qualifies one.
+#: Fixed values of the prefix rules: what ends a parish name, what qualifies one, how some are also written.
 DELIMITERS = ("社区", "村", "寨", "片", "管区", "农场", "区")
-MODIFIERS = ("大", "小", "新", "老", "上", "下", "东", "西", "南", "北")
-HOMOPHONES = (("湖下", "湖厦"), ("湖下", "湖夏"), ("湖厦", "湖夏"), ("石", "时"))
+MODIFIERS = ("大", "小", "新", "老", "東", "西", "南", "北", "上", "下")
+HOMOPHONES = {"湖下": ("湖厦", "湖夏"), "石": ("时",)}
+CONFIDENCE = {"rule1_delimiter": 1.0, "rule2_admin_match": 0.9, "rule3_modifier": 0.9, "rule5_identical": 1.0, "none": 0.0, "empty_name": 0.0}
 NUMERALS = "一二三四五六七八九十"
-ADMIN_SUFFIXES = ("居民委员会", "村民委员会", "社区居委会", "居委会", "村委会", "社区", "管区", "林场", "农场", "村")
+#: Administrative endings; what a remainder can't begin with or be; characters with a dialect variant.
+ADMIN_SUFFIXES = ("社区居民委员会", "村民委员会", "居民委员会", "社区居委会", "村委会", "居委会", "行政村", "管理区", "社区", "村")
+BAD_STARTS = "仔圩围里片社街坡塘尾冲"
+BARE_NAMES = ("农场", "林场", "石场", "渔业", "渔村", "社区", "祠堂", "水坝", "茶店", "瑶族", "路口")
+DIALECT = {
+    "朗": "㙟", "㙟": "朗", "涌": "冲", "冲": "埇", "埇": "冲", "滘": "窖", "窖": "滘", "坭": "泥", "泥": "坭",
+    "冚": "坎", "輋": "畲", "磜": "礤", "迳": "径", "径": "迳", "崀": "良",
+}
 
 
 def is_cjk(c: Column, extended: bool = True) -> Column:
@@ -118,11 +126,12 @@ def _let(value: Column, body) -> Column:
 
 
 def clean_prefix(natural: Column, admin: Column, least: int = 2) -> Column:
-    """struct<name, removed, rule>: the village name without the parish name before it.
+    """struct<name, removed, rule, confidence>: the village name without the parish name before it.
 
     In this order: equal names stay; a prefix that ends in a delimiter goes; a
-    prefix equal to the parish name, bare or with a delimiter or qualified, goes. A
-    remainder shorter than `least` ends the search and keeps the name.
+    prefix equal to the parish name, qualified or bare or in another spelling, goes, with a
+    delimiter rather than without. A prefix with a delimiter that would leave fewer than
+    `least` CJK characters ends the search and the name stays.
     """
     both = F.struct(F.trim(F.coalesce(natural, F.lit(""))).alias("name"), F.trim(F.coalesce(admin, F.lit(""))).alias("parish"))
 
@@ -130,28 +139,42 @@ def clean_prefix(natural: Column, admin: Column, least: int = 2) -> Column:
         return _let(without_delimiters(s["parish"]), lambda bare: with_hit(s["name"], s["parish"], bare))
 
     def with_hit(name: Column, parish: Column, bare: Column) -> Column:
-        texts = [F.concat(F.lit(m), bare, F.lit(d)) for m in ("", *MODIFIERS) for d in (*DELIMITERS, "")]
-        for a, b in HOMOPHONES:
-            texts += [F.replace(bare, F.lit(a), F.lit(b)), F.replace(bare, F.lit(b), F.lit(a))]
-        fits = F.filter(F.array(*texts), lambda t: (F.length(bare) >= least) & F.startswith(name, t) & (F.length(name) > F.length(t)))
-        # the last delimiter that has something before it; where two end at one place the first listed counts
+        # (text, whether it settles the matter even if too little is left, condition), in the order in which they are tried
+        tries = [(F.concat(F.lit(m), bare, F.lit(d)), d != "", F.lit(True)) for m in MODIFIERS for d in (*DELIMITERS, "")]
+        tries += [(F.concat(bare, F.lit(d)), True, F.lit(True)) for d in DELIMITERS] + [(bare, False, F.length(bare) >= 2)]
+        tries += [(F.lit(v + d), True, bare == standard) for standard, vs in HOMOPHONES.items() for v in vs for d in (*DELIMITERS, "")]
+        options = F.array(*[F.struct(t.alias("t"), F.lit(final).alias("final"), F.coalesce(ok, F.lit(False)).alias("ok")) for t, final, ok in tries])
+
+        def enough(t: Column) -> Column:
+            return count_cjk(F.substring(name, F.length(t) + 1, F.length(name))) >= least
+
+        first = F.get(F.filter(options, lambda o: (parish != "") & o["ok"] & F.startswith(name, o["t"]) & (o["final"] | enough(o["t"]))), 0)
+        # the delimiter that begins last, with something before it; where two begin at one place the first listed counts
         ends = []
         for k, d in enumerate(DELIMITERS):
             before = F.length(name) - F.instr(F.reverse(name), d[::-1]) + 1 - len(d)
-            ends.append(F.when((F.instr(name, d) > 0) & (before > 0), F.struct(before.alias("before"), F.lit(-k).alias("order"), (before + len(d)).alias("end"))))
-        found = F.struct(F.get(fits, 0).alias("hit"), F.greatest(*ends)["end"].alias("cut"))
+            ends.append(F.when(F.instr(name, d) > 0, F.struct(before.alias("before"), F.lit(-k).alias("order"), (before + len(d)).alias("end"))))
+        last = F.greatest(*ends)
+        found = F.struct(first["t"].alias("hit"), F.when(last["before"] > 0, last["end"]).alias("cut"))
         return _let(found, lambda f: decided(name, parish, f["hit"], f["cut"]))
 
     def decided(name: Column, parish: Column, hit: Column, cut: Column) -> Column:
         length = F.length(name)
-        rule1 = cut.isNotNull() & (length - cut >= least)
-        rule2 = hit.isNotNull() & (length - F.length(hit) >= least)
+
+        def rest(n: Column) -> Column:
+            return F.substring(name, n + 1, length)
+
+        rule1 = cut.isNotNull() & (count_cjk(rest(cut)) >= least)
+        rule2 = hit.isNotNull() & (hit != "") & (count_cjk(rest(F.length(hit))) >= least)
         label = F.when(F.substring(hit, 1, 1).isin(*MODIFIERS), "rule3_modifier").otherwise("rule2_admin_match")
         same = name == parish
+        rule = F.when(name == "", "empty_name").when(same, "rule5_identical").when(rule1, "rule1_delimiter").when(rule2, label).otherwise("none")
+        sure = F.create_map(*[F.lit(x) for p in CONFIDENCE.items() for x in p])
         return F.struct(
-            F.when(same, name).when(rule1, F.substring(name, cut + 1, length)).when(rule2, F.substring(name, F.length(hit) + 1, length)).otherwise(name).alias("name"),
+            F.when(same, name).when(rule1, rest(cut)).when(rule2, rest(F.length(hit))).otherwise(name).alias("name"),
             F.when(same, F.lit("")).when(rule1, F.substring(name, F.lit(1), cut)).when(rule2, hit).otherwise(F.lit("")).alias("removed"),
-            F.when(same, F.lit("rule5_identical")).when(rule1, F.lit("rule1_delimiter")).when(rule2, label).otherwise(F.lit("none")).alias("rule"),
+            rule.alias("rule"),
+            F.element_at(sure, rule).alias("confidence"),
         )
 
     return _let(both, with_bare)
@@ -205,13 +228,20 @@ def any_of(name: Column, terms: list[str]) -> Column:
     return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(name, t))
 
 
-def term_strength(name: Column, term: str) -> Column:
-    return F.when(name == term, 3).when(name.endswith(term), 2).when(name.contains(term), 1).otherwise(0)
+def term_strength(name: Column, term: str, weak: tuple[str, ...] = (), medium: tuple[str, ...] = (), protected: tuple[str, ...] = (), forms: tuple[str, ...] = ()) -> Column:
+    """'weak' for protected terms in names with a usual ending and for weak terms that aren't
+    the whole name, then 'medium' for medium terms, else 'strong'."""
+    usual = F.lit(False)
+    if term in protected:
+        for f in forms:
+            usual = usual | name.endswith(f)
+    part = (name != term) if term in weak else F.lit(False)
+    return F.when(usual | part, "weak").otherwise("medium" if term in medium else "strong")
 
 
 def risk(strengths: Column) -> Column:
-    worst = F.array_max(strengths)
-    return F.when(worst >= 3, "high").when(worst == 2, "medium").when(worst == 1, "low").otherwise("none")
+    """high, medium or weak by the strongest hit; none without hits."""
+    return F.when(F.array_contains(strengths, "strong"), "high").when(F.array_contains(strengths, "medium"), "medium").when(F.size(strengths) > 0, "weak").otherwise("none")
 
 
 def number_text(value: Column, precision: int = 0) -> Column:

@@ -94,11 +94,15 @@ def longest_prefix(places: DataFrame, candidates: DataFrame, keys: list[str], le
     return met.select("id", "name", F.col("m.candidate").alias("candidate"), F.substring("name", F.length("m.candidate") + 1, F.length("name")).alias("remaining"), "matches")
 
 
-def name_audit(places: DataFrame, terms: dict[str, list[str]], name: str = "name") -> DataFrame:
-    """id, name, rules met, risk: names that look like something other than a place's."""
-    hits = F.array_compact(F.array(*[F.when(F.size(text.any_of(F.col(name), words)) > 0, F.lit(rule)) for rule, words in terms.items()]))
-    strongest = F.array(*[text.term_strength(F.col(name), w) for words in terms.values() for w in words])
-    return places.select("id", name, hits.alias("rules"), text.risk(strongest).alias("risk"))
+def name_audit(places: DataFrame, terms: dict[str, list[str]], name: str = "name", **strengths) -> DataFrame:
+    """id, name, rules met, risk: names that look like something other than a place's.
+
+    `strengths` are the weak, medium, protected terms and usual endings of text.term_strength.
+    """
+    n = F.col(name)
+    hits = F.array_compact(F.array(*[F.when(F.size(text.any_of(n, words)) > 0, F.lit(rule)) for rule, words in terms.items()]))
+    found = F.array_compact(F.array(*[F.when(n.contains(w), text.term_strength(n, w, **strengths)) for words in terms.values() for w in words]))
+    return places.select("id", name, hits.alias("rules"), text.risk(found).alias("risk"))
 
 
 def prefix_matches(places: DataFrame, least: int = 2) -> DataFrame:
@@ -106,7 +110,8 @@ def prefix_matches(places: DataFrame, least: int = 2) -> DataFrame:
 
     A place's own committee is tried first ('own'), then the others of its township: the
     longest one that leaves enough of the name ('other'), unless another one that doesn't
-    begin it is as long ('review'). A remainder that is a bare administrative ending is 'skipped'.
+    begin it is as long ('review'). A remainder that is no name, or begins like the rest of
+    a longer one, is 'skipped'.
     """
     bare = places.select("id", "name", "township", text.admin_base(F.col("committee")).alias("own"))
     parents = bare.select(F.col("township").alias("__t"), F.col("own").alias("other")).filter("other IS NOT NULL AND other <> ''").distinct()
@@ -121,7 +126,7 @@ def prefix_matches(places: DataFrame, least: int = 2) -> DataFrame:
     candidate = F.when(own, F.col("own")).otherwise(F.col("other"))
     out = grouped.withColumn("candidate", candidate).filter("candidate IS NOT NULL")
     out = out.withColumn("remaining", F.substring("name", F.length("candidate") + 1, F.length("name")))
-    ending = F.col("remaining").isin(*text.ADMIN_SUFFIXES)
+    ending = F.col("remaining").isin(*text.ADMIN_SUFFIXES, *text.BARE_NAMES) | F.col("remaining").rlike(f"^[{text.NUMERALS}{text.BAD_STARTS}]")
     status = F.when(ending, "skipped").when(own, "own").when(F.col("matches") > 1, "review").otherwise("other")
     return out.select("id", "name", "candidate", "remaining", status.alias("status"))
 

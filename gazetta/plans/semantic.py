@@ -216,17 +216,22 @@ def subset_compare(spark, sf_dir):
 _AUDIT = {"metal": ["steel", "brass", "tin", "copper", "nickel"], "size": ["large", "small", "medium"], "colour": ["red", "green", "blue", "gold"]}
 
 
+_WEAK, _MEDIUM = ("tin", "red"), ("large", "small", "medium")
+
+
 def _audit_sql() -> str:
     hits = ", ".join(f"CASE WHEN {' OR '.join(f"contains(name, '{w}')" for w in ws)} THEN '{r}' END" for r, ws in _AUDIT.items())
-    strength = ", ".join(f"CASE WHEN name = '{w}' THEN 3 WHEN suffix(name, '{w}') THEN 2 WHEN contains(name, '{w}') THEN 1 ELSE 0 END" for ws in _AUDIT.values() for w in ws)
-    return f"WITH {_CHARS} SELECT id, concat_ws(',', {hits}) AS rules, CASE greatest({strength}) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS risk FROM places"
+    words = [w for ws in _AUDIT.values() for w in ws]
+    strength = {w: f"CASE WHEN name <> '{w}' THEN 1 ELSE 3 END" if w in _WEAK else "2" if w in _MEDIUM else "3" for w in words}
+    worst = ", ".join(f"CASE WHEN contains(name, '{w}') THEN {strength[w]} ELSE 0 END" for w in words)
+    return f"WITH {_CHARS} SELECT id, concat_ws(',', {hits}) AS rules, CASE greatest({worst}) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'weak' ELSE 'none' END AS risk FROM places"
 
 
 @query(_audit_sql())
 def name_audit_rules(spark, sf_dir):
     from gazetta.operators.dedup import name_audit
 
-    return name_audit(places(spark, sf_dir), _AUDIT).select("id", F.array_join("rules", ",").alias("rules"), "risk")
+    return name_audit(places(spark, sf_dir), _AUDIT, weak=_WEAK, medium=_MEDIUM).select("id", F.array_join("rules", ",").alias("rules"), "risk")
 
 
 @query(
