@@ -30,8 +30,10 @@ from .packing import byte_alphabet
 
 #: Distinct chunks that a worker remembers before it starts afresh.
 MEMORY = 400_000
-#: Characters at which chunks are cut; other white space is left to the tokenizer.
+#: Characters at which chunks are cut where str.split() can't be used, as it takes four control
+#: characters for white space which the tokenizer keeps; other white space is left to the tokenizer.
 _CUT = re.compile(r"[ \n\r\t]+")
+_KEPT = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Chunks of composed Latin letters and then ASCII marks other than the apostrophe: at most
 #: two words, which no normalisation but lower case changes.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -52,6 +54,8 @@ class SpeculativeBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.vocab: dict[str, int] = model["vocab"]
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
+        self.id_text = [str(i) for i in range(max(self.strings) + 1)]
+        self.token_text = [self.strings.get(i, "") for i in range(max(self.strings) + 1)]
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.alphabet = byte_alphabet()
         self.letters = {b: c for c, b in self.alphabet.items()}
@@ -237,19 +241,24 @@ class SpeculativeBpe:
             self.words.clear()
         cut = {c: self._chunk_words(c) for c in chunks if c not in self.chunks}
         words = self.words
-        new = list({w for ws in cut.values() for w in ws if w not in words and isinstance(w, str)})
+        new = list({w for ws in cut.values() for w in ws if w not in words and w.__class__ is str})
+        number, string = self.id_text, self.token_text
         for w, ids in zip(new, self.encode_words(new), strict=True):
-            words[w] = (" ".join(map(str, ids)), " ".join([self.strings[i] for i in ids]), len(ids))
+            words[w] = (" ".join([number[i] for i in ids]), " ".join([string[i] for i in ids]), len(ids))
+        chunks = self.chunks
         for c, ws in cut.items():
-            found = [words[w] if isinstance(w, str) else (str(w), self.strings[w], 1) for w in ws]
+            found = [words[w] if w.__class__ is str else (str(w), self.strings[w], 1) for w in ws]
             if len(found) == 1:
-                self.chunks[c] = found[0]
+                chunks[c] = found[0]
+            elif len(found) == 2:
+                (i, s, m), (j, t, n) = found
+                chunks[c] = (f"{i} {j}", f"{s} {t}", m + n)
             else:
                 ids, strings, n = zip(*found, strict=True) if found else ((), (), ())
-                self.chunks[c] = (" ".join(ids), " ".join(strings), sum(n))
+                chunks[c] = (" ".join(ids), " ".join(strings), sum(n))
 
     def encode(self, text: str) -> list[int]:
-        cut = [c for c in _CUT.split(text) if c]
+        cut = chunks_of(text)
         self.learn(set(cut))
         return [int(i) for c in cut for i in self.chunks[c][0].split()]
 
@@ -259,6 +268,12 @@ class SpeculativeBpe:
         return " ".join(self.strings[i] for i in ids if i in self.strings)
 
 
+def chunks_of(text: str) -> list[str]:
+    if any(c in text for c in _KEPT):
+        return [c for c in _CUT.split(text) if c]
+    return text.split()
+
+
 @cache
 def bpe(path: str) -> SpeculativeBpe:
     return SpeculativeBpe(path)
@@ -300,8 +315,8 @@ def encode_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         model = bpe(tokenizer)
 
         def digest(texts: list[str]) -> list[tuple[int, str, str]]:
-            cut = [[c for c in _CUT.split(t) if c] for t in texts]
-            model.learn({c for cs in cut for c in cs})
+            cut = [*map(chunks_of, texts)]
+            model.learn(set().union(*cut))
             known = model.chunks
             out = []
             for cs in cut:
