@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +33,37 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gazetta-{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder once and read that table."""
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def written(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+    """Cut the lineage: write to the shared folder once and read that table.
+
+    Inside `scratch` the table goes at its end, unless it is lasting.
+    """
     spark = df.sparkSession
     at = fresh_dir(spark, label)
     df.write.parquet(at)
+    if not lasting and _SCRATCH.get() is not None:
+        _SCRATCH.get().append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside, from any file system; what is used afterwards
+    must have been written as lasting."""
+    made: list[str] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for at in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, place, salted_left_join, written
+from .common import numbered, place, salted_left_join, scratch, written
 from .quality import words_of
 from .simhash import SHARD, components, fingerprint, links
 
@@ -114,10 +114,12 @@ def drop_near_duplicates(
     other; a null id comes last; of rows that repeat with id and text one stays; df's
     columns stay as they are, whatever their names; an empty table stays empty.
     """
-    gone, repeated = near_duplicates(df, id_col, text_col, words, radius, shingle, least, shard)
+    with scratch(df.sparkSession):
+        gone, repeated = near_duplicates(df, id_col, text_col, words, radius, shingle, least, shard)
+        gone = written(gone.distinct(), "gone", lasting=True)
+        again = None if repeated.isEmpty() else written(repeated, "repeated", lasting=True)
     names = [f"__c{i}" for i in range(len(df.columns))]
-    kept = _keyed(df, id_col, text_col).select(*names, "uid").join(written(gone.distinct(), "gone"), "uid", "left_anti")
-    if not repeated.isEmpty():
-        again = written(repeated, "repeated")
+    kept = _keyed(df, id_col, text_col).select(*names, "uid").join(gone, "uid", "left_anti")
+    if again is not None:
         kept = kept.join(again, "uid", "left_anti").unionByName(kept.join(again, "uid", "left_semi").dropDuplicates(["uid"]))
     return kept.select(*names).toDF(*df.columns)

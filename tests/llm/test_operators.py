@@ -302,6 +302,18 @@ def test_near_duplicates(spark):
     assert sorted(texts_of(near_dedup.drop_near_duplicates(twice)), key=str) == greedy(rows)
 
 
+def test_temporary_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    from gazetta.llm.common import shared_dir
+
+    at = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(at.iterdir())
+    kept = near_dedup.drop_near_duplicates(documents(spark, [PROSE, PROSE + " end", "other words"]))
+    new = {p.name.split("-")[1] for p in set(at.iterdir()) - before}
+    assert kept.count() >= 2 and new == {"gone"}
+
+
 def test_block_schemes():
     for n in (10, 10**4, 10**7, 10**10):
         for r in (0, 1, 2, 3, 6):
