@@ -1,7 +1,9 @@
-"""Dropping near duplicates: SimHash proposes, exact similarity decides.
+"""Dropping near duplicates: fingerprints propose, exact similarity decides.
 
-SimHash components (simhash.py) gather candidates, at a radius wider than the one
-for which a link alone would be proof. Inside a component documents are compared
+Components of links gather candidates: SimHash fingerprints (simhash.py) at a
+radius wider than the one for which a link alone would be proof and, where `banded`, MinHash
+bands of the shingles that decide, for similar texts with distant fingerprints. BANDS keys of ROWS minima each are made of a text; a pair of
+similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS, which is 0.9999 at 0.8. Inside a component documents are compared
 with its leader, the kept one of smallest id: those whose sets of word
 shingles are similar enough go; the others choose a leader among themselves, until all
 are decided. So each document that goes has a similar one that stays, and no document
@@ -14,15 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import numbered, place, salted_left_join, scratch, written
 from .quality import words_of
-from .simhash import SHARD, components, fingerprint, links
+from .simhash import _BLANK, _LOWER, SHARD, components, fingerprint, links
 
 #: Documents of a component that a round decides among themselves.
 LEADERS = 32
+#: Keys of a text that are looked up, and the minima that each is made of.
+BANDS, ROWS = 40, 7
+_DRAWN = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
+_FLIPS, _FACTORS = _DRAWN[0], _DRAWN[1] | np.uint64(1)
+_MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
+_AT_ONCE = 1024
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,25 +53,59 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(common / F.nullif(either.cast("double"), F.lit(0.0)))
 
 
-def _prints(rows: DataFrame, words: int) -> DataFrame:
-    schema = pa.schema([("doc", pa.int64()), ("uid", pa.int64()), ("fp", pa.int64())])
+def _chained(first: np.ndarray, more: list[np.ndarray]) -> np.ndarray:
+    for x in more:
+        first = (first ^ x) * _MIX
+        first ^= first >> _SHIFT
+    return first
+
+
+def bands(text: str, shingle: int) -> np.ndarray:
+    """The MinHash keys of a text's set of word shingles (of all its words if they are fewer); none without words."""
+    found = text.translate(_LOWER).translate(_BLANK).split(" ")
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in found if w], np.uint64)
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    n = min(shingle, len(hashes))
+    count = len(hashes) - n + 1
+    runs = _chained(np.full(count, n, np.uint64), [hashes[k : k + count] for k in range(n)])
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, count, _AT_ONCE):
+        drawn = runs[i : i + _AT_ONCE] ^ _FLIPS
+        drawn *= _FACTORS
+        np.minimum(least, drawn.min(1), out=least)
+    return _chained(np.arange(1, BANDS + 1, dtype=np.uint64), [*least.reshape(BANDS, ROWS).T])
+
+
+def _prints(rows: DataFrame, words: int, shingle: int, banded: bool) -> DataFrame:
+    many = pa.list_(pa.int64())
+    schema = pa.schema([("doc", pa.int64()), ("uid", pa.int64()), ("fp", pa.int64()), ("bands", many)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py(), words) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc"], batch["uid"], pa.array(values, pa.int64())], schema=schema)
+            keys = pa.array([bands(t.as_py(), shingle).view(np.int64) if banded else None for t in batch["text"]], many)
+            yield pa.RecordBatch.from_arrays([batch["doc"], batch["uid"], pa.array(values, pa.int64()), keys], schema=schema)
+
+    return rows.mapInArrow(run, "doc long, uid long, fp long, bands array<long>")
+
 
-    return rows.mapInArrow(run, "doc long, uid long, fp long")
+def _band_links(once: DataFrame) -> DataFrame:
+    """(a, b): each fingerprint with the smallest one that shares a band."""
+    keyed = written(once.select("fp", F.explode("bands").alias("key")), "bands")
+    met = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").select("key", "a")
+    return salted_left_join(keyed, met, "key", 8).filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int, radius: int, shingle: int, least: float, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int, radius: int, shingle: int, least: float, shard: int = SHARD, banded: bool = False) -> tuple[DataFrame, DataFrame]:
     """(uid of documents that go, uid of documents that are there more than once); uid is a hash of id and text."""
     rows = _keyed(df, id_col, text_col)
-    prints = written(_prints(rows.select("doc", "uid", "text"), words), "fingerprints")
-    once = prints.groupBy("uid").agg(F.first("doc").alias("doc"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
+    prints = written(_prints(rows.select("doc", "uid", "text"), words, shingle, banded), "fingerprints")
+    once = prints.groupBy("uid").agg(*[F.first(c).alias(c) for c in ("doc", "fp", "bands")], F.count(F.lit(1)).alias("n"))
     once = written(once, "documents")
     nodes = once.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    below = components(links(nodes.select("fp"), radius, shard))
+    close = links(nodes.select("fp"), radius, shard)
+    below = components(close.unionByName(_band_links(once)) if banded else close)
     member = below.unionByName(below.select(F.col("root").alias("node"), "root").distinct())
     shared = nodes.join(member, nodes["fp"] == member["node"], "left").filter("node IS NOT NULL OR n > 1").select("fp", F.coalesce("root", "fp").alias("part"))
     several = written(once.join(shared, "fp").select("uid", "doc", "part"), "candidates")
@@ -104,18 +147,18 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def drop_near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 6, shingle: int = 5, least: float = 0.8, shard: int = SHARD
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 6, shingle: int = 5, least: float = 0.8, shard: int = SHARD, banded: bool = False
 ) -> DataFrame:
     """The rows of df without those that have a similar row of smaller id which stays.
 
     Candidates have SimHash fingerprints (of `words`-word shingles) linked at `radius` bits or
-    fewer; similar is a Jaccard similarity of `least` or more of the sets of
+    fewer or, if `banded`, a MinHash band in common; similar is a Jaccard similarity of `least` or more of the sets of
     `shingle`-word shingles. Null texts count as empty, and empty ones are similar to each
     other; a null id comes last; of rows that repeat with id and text one stays; df's
     columns stay as they are, whatever their names; an empty table stays empty.
     """
     with scratch(df.sparkSession):
-        gone, repeated = near_duplicates(df, id_col, text_col, words, radius, shingle, least, shard)
+        gone, repeated = near_duplicates(df, id_col, text_col, words, radius, shingle, least, shard, banded)
         gone = written(gone.distinct(), "gone", lasting=True)
         again = None if repeated.isEmpty() else written(repeated, "repeated", lasting=True)
     names = [f"__c{i}" for i in range(len(df.columns))]

@@ -302,6 +302,34 @@ def test_near_duplicates(spark):
     assert sorted(texts_of(near_dedup.drop_near_duplicates(twice)), key=str) == greedy(rows)
 
 
+def test_near_duplicates_with_far_fingerprints(spark):
+    rng = random.Random(11)
+    rows = []
+    for base in range(40):
+        text = [f"v{rng.randrange(500)}" for _ in range(70)]
+        edited = [*text]
+        edited[rng.randrange(5, 65)] = "changed"
+        rows += [(2 * base, " ".join(text)), (2 * base + 1, " ".join(edited))]
+    far = sum((brute_fingerprint(rows[i][1]) ^ brute_fingerprint(rows[i + 1][1])).bit_count() > 6 for i in range(0, 80, 2))
+    assert far >= 5
+    got = near_dedup.drop_near_duplicates(documents(spark, rows), banded=True)
+    assert sorted(r.doc_id for r in got.collect()) == [*range(0, 80, 2)]
+
+
+def test_bands_meet_at_the_similarity_that_counts():
+    rng = random.Random(12)
+    pairs = []
+    while len(pairs) < 200:
+        text = [f"v{rng.randrange(5000)}" for _ in range(120)]
+        edited = [w if rng.random() > 0.02 else "changed" for w in text]
+        a, b = shingles(" ".join(text)), shingles(" ".join(edited))
+        if 0.8 <= len(a & b) / len(a | b) < 0.9:
+            pairs.append((" ".join(text), " ".join(edited)))
+    assert all((near_dedup.bands(x, 5) == near_dedup.bands(y, 5)).any() for x, y in pairs)
+    one, other = (near_dedup.bands(" ".join(f"{p}{i}" for i in range(99)), 5) for p in "ab")
+    assert not (one == other).any() and len(near_dedup.bands(" ", 5)) == 0
+
+
 def test_temporary_tables_go(spark, tmp_path):
     from pathlib import Path
 
