@@ -239,12 +239,23 @@ def name_audit_rules(spark, sf_dir):
     "SELECT doc_id, regexp_replace(bare, '[^a-z]', '', 'g') AS clean_name, t <> bare AS had_brackets, regexp_replace(bare, '[^a-z]', '', 'g') <> bare AS had_noise, length(regexp_replace(bare, '[^a-z]', '', 'g')) >= 60 AS is_valid FROM d"
 )
 def name_clean(spark, sf_dir):
-    """Cleaning of a document's first 200 characters as a name; the width is the name column's."""
+    """Cleaning of a document's first 200 characters as a name, no more, as its SQL says; name_clean_whole reads all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = docs.select("doc_id", text.cleaned(F.substring("text", 1, 200), "a-z", least=60).alias("c"))
     return out.select("doc_id", "c.clean_name", "c.had_brackets", "c.had_noise", "c.is_valid")
 
 
+@query(
+    "WITH d AS (SELECT doc_id, regexp_replace(trim(text), '[（(].*?[）)]', '', 'g') AS bare, trim(text) AS t FROM documents) "
+    "SELECT doc_id, regexp_replace(bare, '[^a-z]', '', 'g') AS clean_name, t <> bare AS had_brackets, regexp_replace(bare, '[^a-z]', '', 'g') <> bare AS had_noise, length(regexp_replace(bare, '[^a-z]', '', 'g')) >= 60 AS is_valid FROM d"
+)
+def name_clean_whole(spark, sf_dir):
+    """Cleaning of a document's whole text as a name."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = docs.select("doc_id", text.cleaned(F.col("text"), "a-z", least=60).alias("c"))
+    return out.select("doc_id", "c.clean_name", "c.had_brackets", "c.had_noise", "c.is_valid")
+
+
 @query("SELECT c_custkey, CASE WHEN regexp_matches(n, '^.+?[一二三四五六七八九十]+村?$') THEN regexp_extract(n, '^(.+?)[一二三四五六七八九十]+村?$', 1) ELSE n END AS base, regexp_matches(n, '^.+?[一二三四五六七八九十]+村?$') AS is_numbered FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '东村一村' WHEN 1 THEN '南岭二' WHEN 2 THEN '石一桥' ELSE '岭村' END || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '三' END AS n FROM customer)")
 def numbered_normalize(spark, sf_dir):
     k = F.col("c_custkey")

@@ -126,3 +126,12 @@ def test_prefix_matching(spark):
     assert got == {1: ("石桥", "东头", "own"), 2: ("石桥", "西头", "other"), 5: ("李家", "石桥头", "own")}
     a = spark.createDataFrame([("石桥东头", "东头", "石桥村")], "a string, b string, m string")
     assert a.select(dedup.prefix_proposal(F.col("a"), F.col("b"), F.col("m"))).first()[0] == "b"
+
+
+def test_names_are_cleaned_beyond_two_hundred_characters(spark, tmp_path):
+    from gazetta import plans
+
+    text = "a" * 30 + "1" * 300 + "(note)" + "b" * 40
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = plans.QUERIES["name_clean_whole"](spark, str(tmp_path)).first()
+    assert row.clean_name == "a" * 30 + "b" * 40 and row.is_valid and row.had_brackets and row.had_noise
