@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gazetta.functions import geo, stats, text
 from gazetta.operators import frequency, ngrams, regions, semantic
+from gazetta.operators.dedup import deletions
 from gazetta.sources.lexicon import LETTERS, label_pairs
 from gazetta.sources.schema import PLACES_SQL, POINTS_SQL, places, points
 
@@ -122,7 +123,7 @@ def suffix_entropy(spark, sf_dir):
     f"WITH {PLACES_SQL}, n AS (SELECT DISTINCT name FROM places) SELECT a.name AS name_a, b.name AS name_b, levenshtein(a.name, b.name) AS distance, round(1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS similarity FROM n a JOIN n b ON a.name < b.name AND substr(a.name, 1, 4) = substr(b.name, 1, 4)"
 )
 def name_similarity(spark, sf_dir):
-    """Edit similarity of distinct names that begin alike."""
+    """Edit similarity of distinct names with the same first four characters; name_similarity_edits has no such condition."""
     n = places(spark, sf_dir).select("name").distinct().withColumn("k", F.substring("name", 1, 4))
     a, b = n.alias("a"), n.alias("b")
     m = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.name") < F.col("b.name")))
@@ -130,6 +131,23 @@ def name_similarity(spark, sf_dir):
     return rounded(m.select(x.alias("name_a"), y.alias("name_b"), F.levenshtein(x, y).cast("long").alias("distance"), text.similarity(x, y).alias("similarity")))
 
 
+@query(
+    f"WITH {PLACES_SQL}, n AS (SELECT DISTINCT name FROM places) SELECT a.name AS name_a, b.name AS name_b, levenshtein(a.name, b.name) AS distance, round(1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS similarity FROM n a JOIN n b ON a.name < b.name AND levenshtein(a.name, b.name) <= 2"
+)
+def name_similarity_edits(spark, sf_dir):
+    """Edit similarity of distinct names within two edits of each other.
+
+    They meet by what is left of them without up to two characters, which loses no such pair.
+    """
+    n = places(spark, sf_dir).select("name").distinct()
+    n = n.withColumn("k", F.explode(F.array_distinct(F.flatten(F.transform(deletions(F.col("name")), deletions)))))
+    a, b = n.alias("a"), n.alias("b")
+    x, y = F.col("a.name"), F.col("b.name")
+    m = a.join(b, (F.col("a.k") == F.col("b.k")) & (x < y) & (text.limited_distance(x, y, 2) <= 2)).select(x.alias("name_a"), y.alias("name_b")).distinct()
+    x, y = F.col("name_a"), F.col("name_b")
+    return rounded(m.select(x, y, F.levenshtein(x, y).cast("long").alias("distance"), text.similarity(x, y).alias("similarity")))
+
+
 _SX, _SY = "(lon - 105.0)", "(lat - 35.0)"
 
 

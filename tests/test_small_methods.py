@@ -135,3 +135,13 @@ def test_names_are_cleaned_beyond_two_hundred_characters(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     row = plans.QUERIES["name_clean_whole"](spark, str(tmp_path)).first()
     assert row.clean_name == "a" * 30 + "b" * 40 and row.is_valid and row.had_brackets and row.had_noise
+
+
+def test_names_one_edit_apart_at_their_start_meet(spark, tmp_path):
+    from gazetta import plans
+
+    names = ["old plate", "cold plate", "plate cold", "old plates", "bold crate"]
+    rows = [(i, n, "b", "t", i) for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.name_a, r.name_b): (r.distance, r.similarity) for r in plans.QUERIES["name_similarity_edits"](spark, str(tmp_path)).collect()}
+    assert got == {("cold plate", "old plate"): (1, 0.9), ("cold plate", "old plates"): (2, 0.8), ("old plate", "old plates"): (1, 0.9)}
