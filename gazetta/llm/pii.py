@@ -6,7 +6,8 @@ permuted by a keyed Feistel network on numbers of the same length, which is
 one-to-one; letters are replaced by letters of the same script, class and
 case, titles and inflected endings stay, so that gender does. A check over all entities
 finds surrogates that coincide with each other or with a real value and redraws them
-until there are none. Each mention keeps its own format.
+until there are none; names and mail addresses that are too short for it grow by
+a letter a draw. Each mention keeps its own format.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ CLASSES = (
 )
 ROUNDS = 6
 _TITLE = r"^((?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Господин|Госпожа|Κύριος|Κυρία)\.? )"
-_ENDING = 2  # letters of an inflected (Cyrillic or Greek) name that keep its gender
+_ENDING = 2  # letters of an inflected (Cyrillic or Greek) name that keep its gender, if two others remain
+_LENGTHEN = 8  # draws after which names and addresses get a letter more in each
 
 
 def _let(value: Column, body) -> Column:
@@ -148,14 +150,18 @@ def surrogate(kind: Column, core: Column, key: str, attempt: Column) -> Column:
     phone = F.concat(F.substring(core, F.lit(1), code), _permuted(F.substring(core, code + 1, F.length(core)), key, tweak))
     iban = F.concat(F.substring(core, 1, 2), _permuted(F.substring(core, 3, F.length(core)), key, tweak))
     top = F.length(F.substring_index(core, ".", -1)) + 1  # the top-level domain stays
-    ending = F.when(core.rlike(r"\p{IsCyrillic}|\p{IsGreek}"), F.lit(_ENDING)).otherwise(F.lit(0))
+    inflected = core.rlike(r"\p{IsCyrillic}|\p{IsGreek}")
+    ending = F.when(inflected, F.least(F.lit(_ENDING), F.greatest(F.lit(0), F.length(F.substring_index(core, " ", -1)) - 2))).otherwise(F.lit(0))
+    more = F.greatest(F.lit(0), attempt - (_LENGTHEN - 1))
+    vowel = F.when(core.rlike(r"\p{IsCyrillic}"), F.lit("а")).when(inflected, F.lit("α")).otherwise(F.lit("a"))
+    name = F.concat(F.substring(core, F.lit(1), F.length(core) - ending), F.repeat(vowel, more), F.substring(core, F.length(core) - ending + 1, ending))
     return (
         F.when(kind == "card", card)
         .when(kind == "phone", phone)
         .when(kind == "iban", iban)
         .when(kind == "ip", _address(core, key, tweak))
-        .when(kind == "email", _letters(core, key, tweak, top))
-        .when(kind == "name", _letters(core, key, tweak, ending))
+        .when(kind == "email", _letters(F.concat(F.repeat(F.lit("a"), more), core), key, tweak, top))
+        .when(kind == "name", _letters(name, key, tweak, ending))
         .otherwise(digits)
     )
 
@@ -190,14 +196,16 @@ def _in_format(value: Column, kind: Column, core: Column) -> Column:
         return F.when(c == " ", c).otherwise(F.substring(core, before + 1, F.lit(1)))
 
     def cased(c: Column, i: Column) -> Column:
-        new = F.substring(core, i + 1, F.lit(1))
+        new = F.substring(core, i + 1 + longer, F.lit(1))
         return F.when(c != F.lower(c), F.upper(new)).otherwise(new)
 
+    longer = F.length(core) - F.length(value)  # letters that a mail address got in front
+
     chars = F.split(value, "")
     return (
         F.when(kind.isin("card", "phone", "ssn"), F.array_join(F.transform(chars, digit), ""))
         .when(kind == "iban", F.array_join(F.transform(chars, alphanumeric), ""))
-        .when(kind == "email", F.array_join(F.transform(chars, cased), ""))
+        .when(kind == "email", F.concat(F.substring(core, F.lit(1), longer), F.array_join(F.transform(chars, cased), "")))
         .when(kind == "name", F.concat(F.regexp_extract(value, _TITLE, 1), core))
         .otherwise(core)
     )

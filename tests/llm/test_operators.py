@@ -496,6 +496,19 @@ def test_surrogates_stay_distinct(spark):
     assert not {r.surrogate for r in table} & {r.core for r in table}
 
 
+def test_surrogates_of_short_values(spark):
+    small = "бвгджзклмн"
+    names = ["Ли", "Ян", "Анна Ли", "Йй", "Νά"] + [f"{a.upper()}{b}а" for a in small for b in "аеиоуы"] + [f"{a.upper()}{b}" for a in "БВГДЖЗКЛМНПРСТФХЦЧШЩ" for b in "аеиоуыэюя"]
+    made = [("name", n) for n in dict.fromkeys(names)] + [("email", f"{a}@{b}.io") for a in "aeiou" for b in "bcdfghjklmnpqrstvwxyz"]
+    table = pii.entity_table(spark.createDataFrame(made, "kind string, core string"), "k").collect()
+    assert len(table) == len(made) == len({(r.kind, r.surrogate) for r in table})
+    assert not {(r.kind, r.surrogate) for r in table} & {(r.kind, r.core) for r in table}
+    texts = ["Господин Ли", "Господин Йй", *[f"{a}@{b}.io" for a in "aeiou" for b in "BCDFGHJKLMNPQRSTVWXYZ"]]
+    out = [r.text for r in pii.replace_personal_data(documents(spark, texts)).collect()]
+    assert not {*out} & {*texts} and len({*out}) == len(texts)
+    assert all(t.startswith("Господин ") or t.endswith(".io") for t in out)
+
+
 def test_plain_splitting_is_exact():
     """str.split() cuts at nothing but what the tokenizer drops, four characters apart."""
     model = bpe.bpe(WORD)
