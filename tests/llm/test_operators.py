@@ -453,6 +453,42 @@ def test_html_without_a_template_keeps_everything(spark):
     assert {r.text for r in html.extract_text(same).collect()} == {"Head 1\n\nOne & two 1\n\nThree four 1\n\na1\n\nb1\n\nFixed line"}
 
 
+def test_html_aligns_long_lists_exactly(monkeypatch):
+    rng = random.Random(13)
+
+    def blocks(labels):
+        out = []
+        for label, text in labels:
+            b = html.Block("p", label, True)
+            b.items.append(text)
+            out.append(b)
+        return out
+
+    def worth(pairs):
+        return sum(html._weight(x, y) for x, y in pairs)
+
+    def plain(xs, ys):
+        best = [[0.0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                w = html._weight(x, y)
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w if w else 0)
+        return best[-1][-1]
+
+    for _ in range(60):
+        xs, ys = (blocks([(rng.choice("ab"), rng.choice("xyz")) for _ in range(rng.randrange(30))]) for _ in range(2))
+        for cells in (250_000, 12):
+            monkeypatch.setattr(html, "_CELLS", cells)
+            pairs = html._matched(xs, ys)
+            places = [([*map(id, xs)].index(id(x)), [*map(id, ys)].index(id(y))) for x, y in pairs]
+            assert places == sorted(places) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(places, places[1:], strict=False))
+            assert worth(pairs) == plain(xs, ys)
+    monkeypatch.undo()
+    page = "<body>" + "".join(f"<p>{{0}} {i}</p>" for i in range(700)) + "<p>Notice</p><p>last {0}</p></body>"
+    longer = page.replace("<body>", "<body>" + "<p>new</p>" * 3).format("b")
+    assert [x[2] for x in html.page_blocks(longer, html.skeleton(page.format("a"))) if x[0] == "Notice"] == [True]
+
+
 def test_html_parser_survives_bad_markup():
     for page in ("<", "<a", "<p", "</p></div>", "<!--", "<script>", '<p title="x>y', "<![CDATA[ <p>x", "<p>a</b></i>b" * 50, "&amp &lt; &#x41;"):
         html.page_blocks(page, html.skeleton(page))
