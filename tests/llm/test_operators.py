@@ -453,6 +453,18 @@ def test_html_without_a_template_keeps_everything(spark):
     assert {r.text for r in html.extract_text(same).collect()} == {"Head 1\n\nOne & two 1\n\nThree four 1\n\na1\n\nb1\n\nFixed line"}
 
 
+def test_html_learns_the_template_of_each_layout(spark):
+    one = "<body><div class='a'><p>Text {i}</p><p>Notice of one</p></div></body>"
+    two = "<body><div class='b'><div class='c'><p>Other {i}</p><p>Notice of two</p></div></div></body>"
+    rows = [(i, f"http://h.example/{i}", (one if i % 5 < 3 else two).format(i=i)) for i in range(20)]
+    rows += [(100 + i, "http://small.example/", one.format(i=i)) for i in range(3)]
+    gap = [(200 + i, f"http://gap.example/{i}", f"<body><p>Body {i}</p>" + "<p>Line of all</p>" * (i != k) + "</body>") for k in (0,) for i in range(20)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows + gap, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == ("Text" if i % 5 < 3 else "Other") + f" {i}" for i in range(20))
+    assert [got[100 + i] for i in range(3)] == [f"Text {i}" for i in range(3)]
+    assert all(got[200 + i] == f"Body {i}" for i in range(20))
+
+
 def test_html_aligns_long_lists_exactly(monkeypatch):
     rng = random.Random(13)
 
