@@ -41,7 +41,7 @@ BASE_RULES = (
 )
 #: Rules of the method's own, for secrets that the base ones miss.
 MORE_RULES = (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", 2, r"-----BEGIN (?:[A-Z]+ ){0,4}PRIVATE KEY-----"),  # bounded: a repeated group is matched by recursion
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = (*BASE_RULES, *MORE_RULES)
