@@ -28,9 +28,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: SimHash and MinHash gather the candidates, and
+    """One document of each group stays: SimHash (op10's radius) and MinHash gather the candidates, and
     those go whose five-word shingles are 0.8 or more alike to a kept one's."""
-    return drop_near_duplicates(docs, banded=True)
+    return drop_near_duplicates(docs, words=5, radius=2, banded=True)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,6 +167,13 @@ def test_redaction(odd):
     assert same <= set(texts_of(clean))
 
 
+def test_hostile_texts_do_not_exhaust_the_stack(spark):
+    many = 300_000
+    texts = ["-----BEGIN " + "A " * many, "-----BEGIN RSA PRIVATE KEY-----", "password=" + "x" * many, "AKIA" + "Z" * many, "eyJ" + "x" * many + ".eyJ", "token " * many, "0" * many, '"' * many]
+    rows = {r.doc_id - 10: r.spans for r in secrets.scan_secrets(documents(spark, texts)).collect()}
+    assert rows == {0: "", 1: "pem:0:31", 2: f"assign:0:{9 + many}", 3: f"access:0:{4 + many}", 4: "", 5: "", 6: f"hex:0:{many}", 7: ""}
+
+
 def test_very_many_secrets_in_one_text(spark):
     import time
 
@@ -316,6 +323,31 @@ def test_near_duplicates_with_far_fingerprints(spark):
     assert sorted(r.doc_id for r in got.collect()) == [*range(0, 80, 2)]
 
 
+def test_no_similar_documents_stay(spark):
+    """Hot buckets in small blocks: of all pairs no similar one stays, and what goes is linked to what stays."""
+    rng = random.Random(15)
+    rows = []
+    passage = " ".join(f"p{rng.randrange(900)}" for _ in range(60))
+    for base in range(3):
+        text = [f"v{rng.randrange(700)}" for _ in range(90)]
+        for _ in range(40 if base else 120):
+            edited = [w if rng.random() > 0.012 else f"e{rng.randrange(900)}" for w in text]
+            rows.append((len(rows), " ".join(edited)))
+    rows += [(len(rows) + i, passage + " " + " ".join(f"q{rng.randrange(9000)}" for _ in range(20))) for i in range(60)]
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", None, " ", "one", "one"])] + [rows[5], rows[5]]
+    sets = {i: shingles(t) for i, t in rows}
+
+    def alike(i, j):
+        a, b = sets[i], sets[j]
+        return (len(a & b) / len(a | b) if a | b else 1) >= 0.8
+
+    group = components([*sets], alike)
+    for block in (512, 8):
+        kept = [r.doc_id for r in near_dedup.drop_near_duplicates(documents(spark, rows).repartition(3), words=5, radius=2, banded=True, block=block).collect()]
+        assert len(kept) == len(set(kept)) and not any(alike(i, j) for i in kept for j in kept if i < j)
+        assert {group[i] for i in sets} <= {*kept} and len(kept) < 200
+
+
 def test_bands_meet_at_the_similarity_that_counts():
     rng = random.Random(12)
     pairs = []
