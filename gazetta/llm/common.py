@@ -43,7 +43,7 @@ def written(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     at = fresh_dir(spark, label)
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     if not lasting and _SCRATCH.get() is not None:
         _SCRATCH.get().append(at)
     return spark.read.schema(df.schema).parquet(at)

@@ -533,6 +533,68 @@ def test_html_aligns_long_lists_exactly(monkeypatch):
     assert [x[2] for x in html.page_blocks(longer, html.skeleton(page.format("a"))) if x[0] == "Notice"] == [True]
 
 
+def random_tree(rng, depth):
+    b = html.Block("x", rng.choice("ab"), True)
+    if rng.random() < 0.4:
+        b.items.append(rng.choice("st"))
+    if depth:
+        b.children = [random_tree(rng, depth - 1) for _ in range(rng.randrange(4))]
+    return b
+
+
+def plain_matching(x, y):
+    if x.label != y.label:
+        return 0
+    best = [[0] * (len(y.children) + 1) for _ in range(len(x.children) + 1)]
+    for i, c in enumerate(x.children):
+        for j, d in enumerate(y.children):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_matching(c, d))
+    return 1 + best[-1][-1]
+
+
+def test_simple_tree_matching_by_brute_force():
+    rng = random.Random(21)
+    for _ in range(300):
+        x, y = random_tree(rng, 4), random_tree(rng, 4)
+        x.label = y.label = "a"
+        assert html.matching(x, y) == plain_matching(x, y)
+        up = {id(c): b for t in (x, y) for b in html._walk(t) for c in b.children}
+        pairs = html.align(x, y)
+        assert all(p.label == q.label and ((p, q) == (x, y) or any(up[id(p)] is a and up[id(q)] is b for a, b in pairs)) for p, q in pairs)
+
+
+def test_html_without_names(spark):
+    """No article, no telling names: the region is where most of the varying text is."""
+    rng = random.Random(22)
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+
+    rows, want = [], {}
+    for i in range(60):
+        head, body = words(5), [words(rng.randrange(15, 60)) for _ in range(rng.randrange(2, 9))]
+        menu = "".join(f"<li><a href='/{k}'>{words(1)}</a></li>" for k in range(rng.randrange(3, 9)))
+        extra = f"<div class='k5'>{words(4)}</div>" if i % 2 else ""
+        gap = "" if i % 17 == 0 else "<p>All rights are kept by the owner</p>"
+        paragraphs = "".join(f"<p>{x}</p>" for x in body)
+        page = f"<html><body><div class='k1'><ul>{menu}</ul></div>{extra}<div class='k2'><h1>{head}</h1>{paragraphs}{gap}</div><div class='k3'>The same on all pages, whatever they tell about</div><div class='k4'>{words(2)}</div></body></html>"
+        host = "one" if i < 3 else "two" if i < 8 else "many"
+        rows.append((i, f"http://{host}.example/{i}", page))
+        want[i] = "\n\n".join([head, *body])
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {i: got[i] for i in range(8, 60)} == {i: want[i] for i in range(8, 60)}
+    assert all(got[i].startswith(want[i]) and "same on all" not in got[i] for i in range(8))
+
+
+def test_html_of_long_and_deep_pages(spark):
+    deep = "<body>" + "<div>" * 30_000 + "<p>core {0}</p>" + "</div>" * 30_000 + "<p>after {0}</p></body>"
+    wide = "<body><div class='a'>" + "".join(f"<section><h2>H{{0}} {i}</h2><p>{{0}} text {i}</p></section><p>Line</p>" for i in range(600)) + "</div></body>"
+    rows = [(i, f"http://deep.example/{i}", deep.format(i)) for i in range(3)] + [(10 + i, f"http://wide.example/{i}", wide.format(i).replace("<h2>H1 7<", "<h3>new</h3><h2>H1 7<")) for i in range(3)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "core 0\n\nafter 0" and got[2] == "core 2\n\nafter 2"
+    assert got[10].count("text") == 600 and "Line" not in got[10] and "new" in got[11]
+
+
 def test_html_parser_survives_bad_markup():
     for page in ("<", "<a", "<p", "</p></div>", "<!--", "<script>", '<p title="x>y', "<![CDATA[ <p>x", "<p>a</b></i>b" * 50, "&amp &lt; &#x41;"):
         html.page_blocks(page, html.skeleton(page))
