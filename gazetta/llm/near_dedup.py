@@ -30,6 +30,8 @@ from .simhash import _BLANK, _LOWER, SHARD, components, fingerprint, links
 
 #: Documents of a bucket that are compared in one go.
 BLOCK = 512
+#: Documents of a bucket that are compared with its first one in one task's run.
+PART = 64
 #: Keys of a text that are looked up, and the minima that each is made of.
 BANDS, ROWS = 25, 6
 _DRAWN = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
@@ -190,7 +192,7 @@ def _similar_links(members: DataFrame, texts: DataFrame, shingle: int, least: fl
     pairs = written(members.filter("num <> lead").select("num", "lead").distinct(), "pairs")
     several = pairs.select("num").unionByName(pairs.select(F.col("lead").alias("num"))).distinct()
     sets = written(_sets(texts.join(several, "num"), shingle), "shingles")
-    parts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
+    parts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / min(block, PART)).cast("int").alias("k"))
     dealt = pairs.join(parts, "lead").select("num", "lead", F.pmod(F.xxhash64("num"), F.col("k")).cast("int").alias("salt"))
     firsts = parts.select(F.col("lead").alias("num"), "lead", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
     rows = dealt.unionByName(firsts).join(sets, "num")
