@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, written
 
 PIECES_PER_SHARD = 4096
+NUMBER = "__number"
 
 #: Texts made of these characters only, with no long unbroken run, go to the faster
 #: of two encoders that agree on them; any other text goes to the reference one.
@@ -125,9 +126,11 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capa
 
 
 def pack_lengths(pieces: DataFrame, capacity: int, shard_size: int = PIECES_PER_SHARD) -> DataFrame:
-    """Adds sequence_id and offset to rows with a `length` of 1 to capacity."""
+    """Adds sequence_id and offset to rows with doc_id, piece and a `length` of 1 to capacity."""
+    if NUMBER not in pieces.columns:
+        pieces = written(pieces.withColumn(NUMBER, F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-pieces.count() // shard_size))
-    schema = pieces.schema
+    schema = [f for f in pieces.schema if f.name != NUMBER]
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
@@ -135,10 +138,11 @@ def pack_lengths(pieces: DataFrame, capacity: int, shard_size: int = PIECES_PER_
         put = [state.place(int(n)) for n in group["length"]]
         first = int(group["__shard"].iloc[0]) << 32
         group = group.assign(sequence_id=first + np.array([a for a, _ in put], "int64"), offset=np.array([b for _, b in put], "int64"))
-        return group.drop(columns="__shard")
+        return group.drop(columns=["__shard", NUMBER])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    dealt = pieces.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(shards)))
+    # by the written row number, so that rows that repeat in bulk are dealt like all others
+    dealt = pieces.withColumn("__shard", F.pmod(F.xxhash64(NUMBER), F.lit(shards)))
     return dealt.groupBy("__shard").applyInPandas(place, f"{fields}, sequence_id long, offset long")
 
 
@@ -159,5 +163,6 @@ def pack_documents(
     doc_id and piece; other columns are ignored, whatever their names; an
     empty table gives an empty result.
     """
-    pieces = written(token_pieces(df, tokenizer, id_col, text_col, capacity, end_id), "pieces")
+    pieces = token_pieces(df, tokenizer, id_col, text_col, capacity, end_id)
+    pieces = written(pieces.withColumn(NUMBER, F.monotonically_increasing_id()), "pieces")
     return pack_lengths(pieces, capacity, shard_size)

@@ -66,6 +66,13 @@ def test_packing(odd):
         assert at <= 1024
 
 
+def test_repeated_rows_are_dealt_to_all_shards(spark):
+    df = spark.range(6000).selectExpr("cast(null as long) doc_id", "'' text")
+    rows = packing.pack_documents(df, BYTE, shard_size=500).collect()
+    shards = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 6000 and len(shards) == 12 and max(shards.values()) < 700
+
+
 def test_packing_uses_few_sequences():
     rng = random.Random(3)
     state = packing.SumOfSquares(1024)
