@@ -36,6 +36,7 @@ INDEX = "page_id long, bundle string, frame int, frame_start long, frame_bytes l
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    path = re.sub(r"^s3[an]:", "s3:", path)
     if re.match(r"[a-z][a-z0-9+.-]+:", path):
         return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if re.match(r"file:/[^/]", path) else path)
     return pafs.LocalFileSystem(), path
@@ -202,29 +203,30 @@ def describe(headers: dict[str, str], block: bytes, payloads: bool) -> tuple:
 
 
 def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the bundles that an index lists, frame by frame.
+    """All records that an index lists: each frame is read alone, by its place in the bundle, and each record
+    by its offset in the frame.
 
-    Each payload is checked against its digest; a revisit has no payload.
+    Each payload is checked against its digest; a revisit has no payload. An empty index gives an empty result.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzstd = zstandard.ZstdDecompressor()
         for batch in batches:
-            for path in batch["bundle"].to_pylist():
+            for path, start, packed, offsets in zip(*(batch[c].to_pylist() for c in ("bundle", "frame_start", "frame_bytes", "offsets")), strict=True):
                 files, name = filesystem(path)
                 with files.open_input_file(name) as file:
-                    for start, packed, data in seek_table(file):
-                        file.seek(start)
-                        frame = unzstd.decompress(file.read(packed), max_output_size=data)
-                        rows, at = [], 0
-                        while at < len(frame):
-                            headers, block, at = parse(frame, at)
-                            rows.append(describe(headers, block, payloads))
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ.types, strict=True)], schema=_READ)
-
-    # a bundle is a task's work, though its name is a small row that Spark would put with all others
-    bundles = index.select("bundle").distinct().repartition(shuffle_partitions(index.sparkSession), "bundle")
-    return bundles.mapInArrow(read, READ)
+                    file.seek(start)
+                    frame = unzstd.decompressobj().decompress(file.read(packed))
+                rows = []
+                for at in offsets:
+                    headers, block, _ = parse(frame, at)
+                    rows.append(describe(headers, block, payloads))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ.types, strict=True)], schema=_READ)
+
+    # a frame has few records: FRAME_BYTES and one record at most
+    frames = index.groupBy("bundle", "frame", "frame_start", "frame_bytes").agg(F.collect_list("offset").alias("offsets"))
+    dealt = frames.repartition(shuffle_partitions(index.sparkSession), "bundle", "frame")
+    return dealt.mapInArrow(read, READ)
 
 
 def read_record(bundle: str, frame_start: int, frame_bytes: int, offset: int) -> tuple[dict[str, str], bytes]:
