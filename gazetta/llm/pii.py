@@ -1,13 +1,15 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Every distinct entity (its kind and its value without formatting) gets one
+Every distinct entity (its kind and its value without formatting; each part of a person's name is an entity, so that
+"Mr John Smith" and "Mr Smith" keep one surname) gets one
 surrogate from a keyed function, so that all mentions in all documents agree. Digits are
 permuted by a keyed Feistel network on numbers of the same length, which is
 one-to-one; letters are replaced by letters of the same script, class and
-case, titles and inflected endings stay, so that gender does. A check over all entities
+case; titles stay, as do endings that tell gender (two letters of inflected names, a last vowel
+of others). A check over all entities
 finds surrogates that coincide with each other or with a real value and redraws them
-until there are none; names and mail addresses that are too short for it grow by
-a letter a draw. Each mention keeps its own format.
+until there are none; values that are too short for it grow by
+a letter or digit a draw. Each mention keeps its own format.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import picked, salted_left_join, written
+from .common import picked, salted_left_join, scratch, written
 
 #: Fixed patterns by kind, in the order in which they are tried at a place.
 KINDS = {
@@ -25,17 +27,21 @@ KINDS = {
     "card": r"(?<![\dA-Za-z])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\dA-Za-z])",
     "phone": r"\+\d{1,3}[ -]?(?:\(\d{2,4}\)|\d{2,4})(?:[ -]\d{2,4}){2,3}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": r"(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Господин|Госпожа|Κύριος|Κυρία)\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    "name": r"(?<![\p{L}\p{N}])(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Господин|Госпожа|Κύριος|Κυρία)\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }
 #: Fixed classes of letters that may stand for each other.
 CLASSES = (
-    "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü",
-    "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "āăąēĕėęěīĭįōŏőūŭůűųãåæõøœÿý", "çćčďđðğłńñňŕřśşšťþźżž",
+    "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "ёєіїй", "ґђјљњћџў", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώϊϋ",
+    "աեէըիոօ", "բգդզթժլխծկհձղճմյնշչպջռսվտրցփքֆ",
 )
+#: Fixed country calling codes of two digits; 1 and 7 are of one, all others of three.
+_TWO_DIGIT_CODES = r"^(?:2[07]|3[0123469]|4[013456789]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 ROUNDS = 6
 _TITLE = r"^((?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Господин|Госпожа|Κύριος|Κυρία)\.? )"
 _ENDING = 2  # letters of an inflected (Cyrillic or Greek) name that keep its gender, if two others remain
 _LENGTHEN = 8  # draws after which names and addresses get a letter more in each
+_LONGER = 24  # draws after which numbers get a digit more in each
 
 
 def _let(value: Column, body) -> Column:
@@ -129,7 +135,8 @@ def _letters(value: Column, key: str, tweak: Column, kept: Column) -> Column:
     def one(c: Column, i: Column) -> Column:
         low = F.lower(c)
         draw = F.xxhash64(F.lit(key), tweak, F.lower(value), i)
-        out = F.when(c.rlike("^[0-9]$"), F.pmod(draw, F.lit(10)).cast("string")).otherwise(c)
+        unlisted = F.substring(F.lit("eainorst"), F.pmod(draw, F.lit(8)).cast("int") + 1, F.lit(1))  # no real letter stays
+        out = F.when(c.rlike("^[0-9]$"), F.pmod(draw, F.lit(10)).cast("string")).when(c.rlike(r"^\p{L}$"), unlisted).otherwise(c)
         for letters in CLASSES:
             other = F.substring(F.lit(letters), F.pmod(draw, F.lit(len(letters))).cast("int") + 1, F.lit(1))
             out = F.when((low != "") & (F.instr(F.lit(letters), low) > 0), F.when(c == low, other).otherwise(F.upper(other))).otherwise(out)
@@ -141,28 +148,30 @@ def _letters(value: Column, key: str, tweak: Column, kept: Column) -> Column:
 def surrogate(kind: Column, core: Column, key: str, attempt: Column) -> Column:
     """The keyed surrogate of an identity."""
     tweak = F.concat_ws("/", kind, attempt.cast("string"))
-    digits = _permuted(core, key, tweak)
+    digits = _permuted(core, key, tweak)  # of a social-security number
     issuer, body, last = F.substring(core, 1, 1), F.substring(core, 2, F.length(core) - 2), F.substring(core, -1, 1)
     valid = _luhn_digit(F.concat(issuer, body)) == last
     checked = _let(F.concat(issuer, _permuted(body, key, tweak)), lambda b: F.concat(b, _luhn_digit(b)))
     card = F.when(valid, checked).otherwise(F.concat(issuer, _permuted(F.concat(body, last), key, tweak)))
-    code = F.when(core.rlike("^[17]"), 1).otherwise(2)  # digits of the country code
+    code = F.when(core.rlike("^[17]"), 1).when(core.rlike(_TWO_DIGIT_CODES), 2).otherwise(3)  # digits of the country code
     phone = F.concat(F.substring(core, F.lit(1), code), _permuted(F.substring(core, code + 1, F.length(core)), key, tweak))
     iban = F.concat(F.substring(core, 1, 2), _permuted(F.substring(core, 3, F.length(core)), key, tweak))
     top = F.length(F.substring_index(core, ".", -1)) + 1  # the top-level domain stays
     inflected = core.rlike(r"\p{IsCyrillic}|\p{IsGreek}")
-    ending = F.when(inflected, F.least(F.lit(_ENDING), F.greatest(F.lit(0), F.length(F.substring_index(core, " ", -1)) - 2))).otherwise(F.lit(0))
+    vowel_ending = core.rlike("^.{3,}[aeo]$")  # a last vowel tells gender in many languages
+    ending = F.when(inflected, F.least(F.lit(_ENDING), F.greatest(F.lit(0), F.length(core) - 2))).when(vowel_ending, F.lit(1)).otherwise(F.lit(0))
     more = F.greatest(F.lit(0), attempt - (_LENGTHEN - 1))
     vowel = F.when(core.rlike(r"\p{IsCyrillic}"), F.lit("а")).when(inflected, F.lit("α")).otherwise(F.lit("a"))
     name = F.concat(F.substring(core, F.lit(1), F.length(core) - ending), F.repeat(vowel, more), F.substring(core, F.length(core) - ending + 1, ending))
+    longer = F.repeat(F.pmod(F.xxhash64(F.lit(key), tweak, core), F.lit(10)).cast("string"), F.greatest(F.lit(0), attempt - (_LONGER - 1)))
     return (
-        F.when(kind == "card", card)
-        .when(kind == "phone", phone)
-        .when(kind == "iban", iban)
+        F.when(kind == "card", F.concat(card, longer))
+        .when(kind == "phone", F.concat(phone, longer))
+        .when(kind == "iban", F.concat(iban, longer))
         .when(kind == "ip", _address(core, key, tweak))
         .when(kind == "email", _letters(F.concat(F.repeat(F.lit("a"), more), core), key, tweak, top))
         .when(kind == "name", _letters(name, key, tweak, ending))
-        .otherwise(digits)
+        .otherwise(F.concat(digits, longer))
     )
 
 
@@ -201,12 +210,14 @@ def _in_format(value: Column, kind: Column, core: Column) -> Column:
 
     longer = F.length(core) - F.length(value)  # letters that a mail address got in front
 
+    def extra(marks: str) -> Column:
+        return F.substring(core, F.length(F.regexp_replace(value, marks, "")) + 1, F.length(core))
+
     chars = F.split(value, "")
     return (
-        F.when(kind.isin("card", "phone", "ssn"), F.array_join(F.transform(chars, digit), ""))
-        .when(kind == "iban", F.array_join(F.transform(chars, alphanumeric), ""))
+        F.when(kind.isin("card", "phone", "ssn"), F.concat(F.array_join(F.transform(chars, digit), ""), extra(r"[^0-9]")))
+        .when(kind == "iban", F.concat(F.array_join(F.transform(chars, alphanumeric), ""), extra(" ")))
         .when(kind == "email", F.concat(F.substring(core, F.lit(1), longer), F.array_join(F.transform(chars, cased), "")))
-        .when(kind == "name", F.concat(F.regexp_extract(value, _TITLE, 1), core))
         .otherwise(core)
     )
 
@@ -214,6 +225,8 @@ def _in_format(value: Column, kind: Column, core: Column) -> Column:
 def replace_personal_data(df: DataFrame, key: str = "surrogates", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with surrogates, n_entities (mentions replaced) for every row.
 
+    Equal entities get equal surrogates in all documents, different ones different ones that no document has.
+
     A null text stays null with 0 mentions; a null id stays null; documents with
     equal texts, and repeated rows, get equal results; other columns are
     ignored; an empty table gives an empty result.
@@ -225,11 +238,20 @@ def replace_personal_data(df: DataFrame, key: str = "surrogates", id_col: str =
     texts = plain.select(blob.alias("blob"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     mentions = texts.filter(F.size("found") > 0).select("blob", F.posexplode("found").alias("place", "value")).distinct()
     mentions = mentions.withColumn("kind", kind_of(F.col("value")))
-    mentions = written(mentions.withColumn("core", identity(F.col("kind"), F.col("value"))), "mentions")
-    entities = entity_table(mentions, key)
+    core = identity(F.col("kind"), F.col("value"))
+    cores = F.when(F.col("kind") == "name", F.split(core, " ")).otherwise(F.array(core))
+    mentions = written(mentions.select("blob", "place", "value", "kind", F.posexplode(cores).alias("part", "core")), "mentions")
+    with scratch(df.sparkSession):
+        entities = written(entity_table(mentions, key), "surrogates", lasting=True)
     named = salted_left_join(mentions.withColumn("__who", F.concat_ws(":", "kind", "core")), entities.select(F.concat_ws(":", "kind", "core").alias("__who"), "surrogate"), "__who")
-    placed = named.select("blob", "place", _in_format(F.col("value"), F.col("kind"), F.col("surrogate")).alias("new"))
-    lists = placed.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("place", "new"))).alias("new"))
+    # what comes before a part: the title before a name's first, a space before its second
+    lead = F.when(F.col("kind") != "name", F.lit("")).when(F.col("part") > 0, F.lit(" ")).otherwise(F.regexp_extract("value", _TITLE, 1))
+    placed = named.select("blob", "place", "part", F.concat(lead, _in_format(F.col("value"), F.col("kind"), F.col("surrogate"))).alias("new"))
+    lists = placed.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("place", "part", "new"))).alias("__parts"))
+    found = F.filter("__parts", lambda x: x["part"] == 0)
+    second = F.map_from_entries(F.transform(F.filter("__parts", lambda x: x["part"] == 1), lambda x: F.struct(x["place"], x["new"])))
+    whole = F.get(F.transform(F.array(second), lambda m: F.transform(found, lambda x: F.struct(x["place"].alias("place"), F.concat(x["new"], F.coalesce(F.element_at(m, x["place"]), F.lit(""))).alias("new")))), 0)
+    lists = lists.select("blob", whole.alias("new"))
     rows = salted_left_join(plain.withColumn("blob", blob), lists, "blob")
     parts = F.split("text", pattern, -1)
     rebuilt = F.array_join(F.flatten(F.zip_with(parts, F.transform("new", lambda x: x["new"]), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
