@@ -57,7 +57,7 @@ def fuzzy_severity(rules: Column, km: Column) -> Column:
     return F.when(F.array_contains(rules, "one_edit") & (km <= 0.5), "high").when(F.array_contains(rules, "shared_characters") & (km <= 1), "medium").otherwise("none")
 
 
-def same_name_components(points: DataFrame, keys: list[str], most_km: float, name: str = "name", most_latitude: float = 54.0) -> DataFrame:
+def same_name_components(points: DataFrame, keys: list[str], most_km: float, name: str = "name", most_latitude: float | None = None) -> DataFrame:
     """(id, root) of places with equal names in a block, linked within a distance.
 
     Places meet by block, name and grid cell, so that a common name costs what its

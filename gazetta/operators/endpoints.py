@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazetta.operators import api, frequency, graph, regions, vectors
+from gazetta.functions import stats
+from gazetta.operators import api, frequency, graph, ml, networks, regions, vectors
+from gazetta.sources.storage import active_runs
 from gazetta.sources.tables import Tables
 
 _REGION = ("region_level", "city", "county", "township")
@@ -20,7 +22,7 @@ _REGION = ("region_level", "city", "county", "township")
 
 @dataclass(frozen=True)
 class Listing:
-    """A filtered, ordered, limited table. `least` maps a parameter to the column it bounds below."""
+    """A filtered, ordered, limited table (a limit of 0: all rows). `least` maps a parameter to the column it bounds below."""
 
     table: str
     equal: tuple[str, ...] = ()
@@ -82,6 +84,11 @@ LISTINGS: dict[str, Listing] = {
     "semantic/labels/by-character": Listing("semantic_labels", ("char",), limit=None),
     "semantic/labels/by-category": Listing("semantic_labels", ("category",), (), ("ord",)),
     "semantic/subcategory/chars": Listing("semantic_labels", ("subcategory",), (), ("ord",), None),
+    "semantic/subcategory/vtf/global": Listing("semantic_subcategory_vtf_global", ("category", "subcategory"), (("min_villages", "vtf_count"),), ("-vtf_count", "subcategory"), None),
+    "spatial/clusters/available-runs": Listing("analysis_runs", ("run_id",), order=("-created_at",)),
+    "spatial/centroids": Listing("regional_centroids", _REGION, (), ("-villages",), None),
+    "semantic/composition/conflicts": Listing("semantic_conflicts", (), (), ("-frequency", "sequence")),
+    "run-ids/snapshots": Listing("run_snapshots", ("run_id",)),
     "semantic/subcategory/vtf/regional": Listing("semantic_subcategory_vtf_regional", (*_REGION, "category", "subcategory"), (("min_tendency", "tendency"),), ("-tendency",)),
     "semantic/subcategory/tendency/top": Listing("semantic_subcategory_vtf_regional", (*_REGION, "category"), (("min_villages", "vtf_count"),), ("-tendency",), 10),
     "semantic/subcategory/comparison": Listing("semantic_subcategory_vtf_regional", (*_REGION, "category"), (("min_villages", "vtf_count"),), ("subcategory",), None),
@@ -225,9 +232,12 @@ def ngram_statistics(tables: Tables) -> DataFrame:
 
 def village_profile(tables: Tables, village_id: str) -> DataFrame:
     """A place with its features, runs, structure, spatial features and cluster; what is missing is null."""
-    out = tables.read("places").filter(F.col("village_id") == village_id)
+    return _beside(tables, tables.read("places").filter(F.col("village_id") == village_id))
+
+
+def _beside(tables: Tables, out: DataFrame) -> DataFrame:
     for name, columns in (("village_ngrams", ["bigrams", "trigrams"]), ("village_semantic_structure", ["sequence", "coverage"]), ("village_spatial_features", ["nn_distance_1", "isolation_score"]), ("village_cluster_assignments", ["cluster"])):
-        t = tables.read(name).filter(F.col("village_id") == village_id)
+        t = tables.read(name)
         out = out.join(t.select("village_id", *[c for c in columns if c in t.columns and c not in out.columns]), "village_id", "left")
     return out
 
@@ -241,7 +251,110 @@ def region_intensities(tables: Tables, level: str, levels: list[str], **region)
     return regions.full_outer([here, wide], keys) if not region else here.join(wide, keys, "left")
 
 
+def integration_characters(tables: Tables) -> DataFrame:
+    t = tables.read("spatial_tendency_integration")
+    return t.groupBy("char").agg(F.countDistinct("cluster").alias("clusters"), F.sum("n").alias("villages"))
+
+
+def integration_clusters(tables: Tables) -> DataFrame:
+    t = tables.read("spatial_tendency_integration")
+    return t.groupBy("cluster").agg(F.max("cluster_size").alias("cluster_size"), F.countDistinct("char").alias("chars"))
+
+
+def subcategory_list(tables: Tables, category: str | None = None) -> DataFrame:
+    t = api.where(tables.read("semantic_labels"), category=category).filter("subcategory <> ''")
+    return t.groupBy("category", "subcategory").agg(F.count(F.lit(1)).alias("chars"))
+
+
+def table_statistics(tables: Tables) -> DataFrame:
+    """Tables and their rows in all."""
+    return tables.catalogue().agg(F.count(F.lit(1)).alias("tables"), F.sum("rows").alias("rows"))
+
+
+def village_search(tables: Tables, query: str, page: int = 1, size: int = 20, order: tuple[str, ...] = ("village_id",), **equal) -> DataFrame:
+    """A page of the places whose name contains the query."""
+    limit, offset = api.Policy().page(page, size)
+    return api.search(tables.read("places"), query, **equal).orderBy(*order).offset(offset).limit(limit)
+
+
+def village_detail(tables: Tables, village: str, **equal) -> DataFrame:
+    """All that is known of the places of one name."""
+    return _beside(tables, api.where(tables.read("places").filter(F.col("name") == village), **equal))
+
+
+def latest_runs(tables: Tables) -> DataFrame:
+    """Points every kind at its latest run."""
+    tables.write("active_run_ids", active_runs(tables.read("analysis_runs")))
+    return tables.read("active_run_ids")
+
+
+def subset_of(tables: Tables, features: str | None = None, **wanted) -> DataFrame:
+    """The places that a description (api.Subset) meets, with their features if a table of them is named."""
+    p = tables.read("places")
+    if features:
+        f = tables.read(features)
+        p = p.join(f.select("village_id", *[c for c in f.columns if c not in p.columns]), "village_id")
+    return api.subset(p, api.Subset(**wanted))
+
+
+def subset_comparison(tables: Tables, a: dict, flags: list[str]) -> DataFrame:
+    """Shares of feature flags among the places of a description against all others."""
+    return regions.compare_groups(tables.read("village_features"), api.Subset(**a).condition(), flags)
+
+
+def region_features(tables: Tables, level: str, levels: list[str], top: int = 10) -> DataFrame:
+    """Each region's places, mean length, commonest endings, their entropy, shares of tagged
+    places and the z of the numbers across regions."""
+    keys = levels[: levels.index(level) + 1]
+    f = tables.read("village_features").dropna(subset=keys)
+    tags = [c for c in f.columns if c.startswith("sem_")]
+    sums = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("villages"), F.avg(F.length("name")).alias("avg_length"), *[F.avg(t).alias(f"share_{t[4:]}") for t in tags])
+    n = f.filter("suffix_1 IS NOT NULL").groupBy(*keys, "suffix_1").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    spread = n.groupBy(*keys).agg(stats.shannon(F.collect_list("n")).alias("suffix_entropy"))  # endings of one character
+    out = sums.join(regions.top_values(f, keys, "suffix_1", top), keys, "left").join(spread, keys, "left")
+    return regions.feature_z(out, ["villages", "avg_length", "suffix_entropy", *[f"share_{t[4:]}" for t in tags]])
+
+
+def reduced_vectors(tables: Tables, level: str, levels: list[str], components: int = 2) -> DataFrame:
+    """Principal components of the regions' category vectors."""
+    v = ml.standardised(ml.from_array(region_vectors(tables, level, levels), "vector"))
+    return ml.projected(v, components).select("region", "pca")
+
+
+def clustered_vectors(tables: Tables, level: str, levels: list[str], k: int) -> DataFrame:
+    v = ml.standardised(ml.from_array(region_vectors(tables, level, levels), "vector"))
+    return ml.kmeans(v, k, "scaled")[0].select("region", "cluster", "distance")
+
+
+def spatially_clustered(tables: Tables, level: str, levels: list[str], k: int, weight: float = 0.5) -> DataFrame:
+    """Regions clustered by their category vectors and, with a weight, by where their centre lies."""
+    keys = levels[: levels.index(level) + 1]
+    centre = tables.read("places").groupBy(F.concat_ws("/", *keys).alias("region")).agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    rows = region_vectors(tables, level, levels).join(centre.dropna(), "region")
+    whole = rows.agg(*[g(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, g in (("mean", F.avg), ("spread", F.stddev_pop))])
+    v = ml.from_array(ml_array(ml.standardised(ml.from_array(rows, "vector"))).join(F.broadcast(whole)).withColumn("both", F.concat("flat", F.array(*[weight * (F.col(c) - F.col(f"mean_{c}")) / F.coalesce(F.nullif(F.col(f"spread_{c}"), F.lit(0.0)), F.lit(1.0)) for c in ("lon", "lat")]))).drop("features", "scaled"), "both")  # a single row
+    return ml.kmeans(v, k)[0].select("region", "cluster", "distance", "lon", "lat")
+
+
+def ml_array(df: DataFrame, column: str = "scaled", output: str = "flat") -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return df.withColumn(output, vector_to_array(column))
+
+
+def network_summary(tables: Tables, least: float = 0.0) -> DataFrame:
+    """Size, density, components and clustering of the network of categories that occur together."""
+    e = tables.read("semantic_cooccurrence").filter(F.col("first") < F.col("second")).filter(F.col("pmi") >= least).select(F.col("first").alias("a"), F.col("second").alias("b"), F.col("pmi").alias("weight"))
+    found = networks.summary(networks.collected(e))
+    return tables.spark.createDataFrame([(k, float(v)) for k, v in found.items() if isinstance(v, (int, float))], "measure string, value double")
+
+
 FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
+    "spatial/integration/available-characters": integration_characters, "spatial/integration/clusterlist": integration_clusters,
+    "semantic/subcategory/list": subcategory_list, "metadata/stats/tables": lambda tables: tables.catalogue(), "statistics/database": table_statistics,
+    "village/search": village_search, "village/search/detail": village_detail, "run-ids/refresh": latest_runs, "compute/subset/filter": subset_of,
+    "compute/subset/compare": subset_comparison, "compute/features/aggregate": region_features, "regional/vectors/reduce": reduced_vectors,
+    "regional/vectors/cluster": clustered_vectors, "compute/clustering/spatial-aware": spatially_clustered, "compute/semantic/network": network_summary,
     "run-ids/active/set": set_active_run, "character/significance/summary": significance_summary, "character/tendency/by-region": tendency_by_region,
     "character/tendency/by-char": tendency_by_char, "character/network": character_network, "clustering/metrics/best": best_clustering,
     "ngrams/regional": regional_ngrams, "regional/vectors": region_vectors, "regional/vectors/compare": compare_vectors,

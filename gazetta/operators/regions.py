@@ -37,12 +37,12 @@ def top_values(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
 
 def feature_z(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
     """Each column's z across regions, with at least three values and some spread."""
-    whole = Window.partitionBy()
+    whole = df.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("spread", F.stddev_samp), ("n", F.count))])
     out = {}
     for c in columns:
-        mean, spread, n = F.avg(c).over(whole), F.stddev_samp(c).over(whole), F.count(c).over(whole)
+        mean, spread, n = (F.col(f"__{x}_{c}") for x in ("mean", "spread", "n"))
         out[f"{c}_z"] = F.when((n >= 3) & (spread > 0), F.round((F.col(c) - mean) / F.nullif(spread, F.lit(0.0)), digits))
-    return df.withColumns(out)
+    return df.join(F.broadcast(whole)).withColumns(out).drop(*whole.columns)  # a single row
 
 
 def compare_groups(df: DataFrame, group: Column, flags: list[str]) -> DataFrame:

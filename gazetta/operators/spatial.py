@@ -2,13 +2,13 @@
 
 Points meet through equal grid cells: one side is repeated to the nine cells
 around it, the join is an equi-join on the cell, and only then the distance is
-computed. Cells are at least as wide as the radius everywhere in the stated
-range of latitudes. Points of id, lon, lat.
+computed. Cells are at least as wide as the radius everywhere up to the largest
+latitude of the points, and meet across the 180th meridian. Points of id, lon, lat.
 """
 
 from __future__ import annotations
 
-from math import cos, radians
+from math import cos, floor, radians, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,39 +24,67 @@ _DEGREE = 110.5
 def cell_sizes(radius_km: float, most_latitude: float) -> tuple[float, float]:
     """Width and height in degrees of cells that hold the radius up to a latitude."""
     height = radius_km / _DEGREE
-    return height / max(0.01, cos(radians(min(89.0, most_latitude + height)))), height
+    return min(360.0, height / max(0.0001, cos(radians(min(90.0, most_latitude + height))))), height
 
 
-def neighbours(left: DataFrame, right: DataFrame, radius_km: float, most_latitude: float = 54.0, planar: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
+def highest(points: DataFrame) -> float:
+    """The largest latitude, north or south, of the points."""
+    return points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+
+
+def neighbours(left: DataFrame, right: DataFrame, radius_km: float, most_latitude: float | None = None, planar: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, km): points of `right` within the radius of points of `left`, itself included;
-    with `on`, only those that agree in these columns."""
-    w, h = cell_sizes(radius_km, most_latitude)
+    with `on`, only those that agree in these columns.
+
+    Without `most_latitude` the largest latitude is looked up; a smaller one than the points' loses pairs. Distances on a plane don't meet across the 180th meridian.
+    """
+    w, h = (radius_km / _DEGREE,) * 2 if planar else cell_sizes(radius_km, highest(left) if most_latitude is None else most_latitude)
+    if not planar:
+        w = 360.0 / max(1, floor(360.0 / w))  # a whole number of cells around the globe
+    columns = round(360.0 / w)
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = left.select(F.col("id").alias("a"), F.col("lon").alias("__x"), F.col("lat").alias("__y"), *on, F.explode(around).alias("__d"))
-    a = a.select("a", "__x", "__y", *on, (geo.cell(F.col("__x"), w) + F.col("__d.i")).alias("__i"), (geo.cell(F.col("__y"), h) + F.col("__d.j")).alias("__j"))
-    b = right.select(F.col("id").alias("b"), *on, F.col("lon").alias("__u"), F.col("lat").alias("__v"), geo.cell(F.col("lon"), w).alias("__i"), geo.cell(F.col("lat"), h).alias("__j"))
+
+    def column(cell: Column) -> Column:
+        return cell if planar else F.pmod(cell, F.lit(columns))
+
+    if not planar and columns < 3:
+        a = a.filter("__d.i = 0")  # all longitudes are one cell or two
+        w, columns = 360.0, 1
+    a = a.select("a", "__x", "__y", *on, column(geo.cell(F.col("__x"), w) + F.col("__d.i")).alias("__i"), (geo.cell(F.col("__y"), h) + F.col("__d.j")).alias("__j"))
+    b = right.select(F.col("id").alias("b"), *on, F.col("lon").alias("__u"), F.col("lat").alias("__v"), column(geo.cell(F.col("lon"), w)).alias("__i"), geo.cell(F.col("lat"), h).alias("__j"))
     measure = geo.planar_km if planar else geo.haversine_km
     met = a.join(b, ["__i", "__j", *on]).withColumn("km", measure(F.col("__x"), F.col("__y"), F.col("__u"), F.col("__v")))
     return met.filter(F.col("km") <= radius_km).select("a", "b", "km")
 
 
-def density(points: DataFrame, radii_km: tuple[int, ...] = (1, 5, 10), most_latitude: float = 54.0) -> DataFrame:
+def density(points: DataFrame, radii_km: tuple[int, ...] = (1, 5, 10), most_latitude: float | None = None) -> DataFrame:
     """id, density_<r>km: other points within each radius, from one join at the largest."""
     near = neighbours(points, points, float(max(radii_km)), most_latitude).filter("a <> b")
     counts = near.groupBy(F.col("a").alias("id")).agg(*[F.count_if(F.col("km") <= r).alias(f"density_{r}km") for r in radii_km])
     return points.select("id").join(counts, "id", "left").fillna(0)
 
 
-def nearest(points: DataFrame, k: int = 10, start_km: float = 20.0, most_latitude: float = 54.0, most_km: float = 20_038.0) -> DataFrame:
+def starting_radius(points: DataFrame, k: int, most_km: float, box: float = 0.25) -> float:
+    """A radius within which a point in a cell of usual density (the median over points) has about 2k others."""
+    cells = points.groupBy(geo.cell(F.col("lon"), box), geo.cell(F.col("lat"), box)).agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"))
+    area = (box * geo.DEGREE_KM) ** 2 * F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
+    usual = cells.select(F.percentile(F.col("n") / area, F.lit(0.5), F.col("n")).alias("d")).first()["d"]
+    return min(most_km, sqrt(2 * k / (3.141592653589793 * usual))) if usual else most_km
+
+
+def nearest(points: DataFrame, k: int = 10, start_km: float | None = None, most_latitude: float | None = None, most_km: float = 20_038.0) -> DataFrame:
     """(a, b, km, rank): the k nearest others of each point, ties by id.
 
     Points that have k others within the radius are done; the rest are looked up
     again with twice the radius, among all points, until none is left or
-    the radius spans the globe.
+    the radius spans the globe. The first radius follows from the density, at most `start_km`.
     """
-    todo, done, radius = points, None, start_km
+    todo, done = points, None
     total = points.count()
     want = min(k, total - 1)
+    most_latitude = highest(points) if most_latitude is None else most_latitude
+    radius = min(start_km or most_km, starting_radius(points, k, most_km)) if want > 0 else most_km
     while True:
         near = neighbours(todo, points, radius, most_latitude).filter("a <> b")
         rank = F.row_number().over(Window.partitionBy("a").orderBy("km", "b"))
@@ -70,7 +98,7 @@ def nearest(points: DataFrame, k: int = 10, start_km: float = 20.0, most_latitud
         radius *= 2
 
 
-def neighbour_features(points: DataFrame, k: int = 10, start_km: float = 20.0, **options) -> DataFrame:
+def neighbour_features(points: DataFrame, k: int = 10, start_km: float | None = None, **options) -> DataFrame:
     """id and the distances to the 1st, 5th and k-th neighbour."""
     near = nearest(points, k, start_km, **options)
     wanted = sorted({1, 5, k})
@@ -80,13 +108,13 @@ def neighbour_features(points: DataFrame, k: int = 10, start_km: float = 20.0, *
 
 def isolation_minmax(df: DataFrame, distance: str = "nn_distance_1", dense: str = "density_5km", beyond_km: float = 10.0) -> DataFrame:
     """Mean of the normalised distance and the reversed normalised density."""
-    whole = Window.partitionBy()
+    ends = df.agg(*[f(c).alias(f"__{n}_{c}") for c in (distance, dense) for n, f in (("low", F.min), ("high", F.max))])
 
     def scaled(c: str) -> Column:
-        low, high = F.min(c).over(whole), F.max(c).over(whole)
-        return (F.col(c) - low) / (high - low + 1e-10)
+        return (F.col(c) - F.col(f"__low_{c}")) / (F.col(f"__high_{c}") - F.col(f"__low_{c}") + 1e-10)
 
-    return df.withColumns({"isolation_score": (scaled(distance) + (1 - scaled(dense))) / 2, "is_isolated": F.col(distance) > beyond_km})
+    both = df.join(F.broadcast(ends))  # a single row
+    return both.withColumns({"isolation_score": (scaled(distance) + (1 - scaled(dense))) / 2, "is_isolated": F.col(distance) > beyond_km}).drop(*ends.columns)
 
 
 def isolation_inverse(df: DataFrame, dense: str = "density_1km", below: int = 5) -> DataFrame:
@@ -108,7 +136,18 @@ def hotspot_coverage(features: DataFrame, hotspots: DataFrame, keys: list[str])
     return here.join(hot, keys, "left").fillna({"hotspots": 0}).withColumn("coverage", stats.ratio(F.col("hotspots"), F.col("village_count")))
 
 
-def dbscan(points: DataFrame, radius_km: float, least: int, most_latitude: float = 54.0, planar: bool = False) -> DataFrame:
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds a number from 0 in the order of a distinct key: rows are sorted in ranges, and each range begins where the ones before end."""
+    ranged = cut(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = ranged.withColumn("__part", part).join(F.broadcast(starts), "__part")  # a row per partition
+    return own.withColumn(name, (F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__id", "__part", "__start")
+
+
+def dbscan(points: DataFrame, radius_km: float, least: int, most_latitude: float | None = None, planar: bool = False) -> DataFrame:
     """id, cluster: clusters numbered from 0 by their smallest core id, -1 for noise.
 
     A core has `least` points within the radius, itself included. Clusters are the
@@ -119,7 +158,7 @@ def dbscan(points: DataFrame, radius_km: float, least: int, most_latitude: float
     first = near.join(core, near["a"] == core["core"]).drop("core")
     links = first.join(core, first["b"] == core["core"]).select("a", "b")
     roots = connected_components(core.withColumnRenamed("core", "node"), links)
-    numbers = roots.select("root").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("long"))
+    numbers = cut(numbered(roots.select("root").distinct(), "root", "cluster"))
     cores = roots.join(numbers, "root").select(F.col("node").alias("b"), "cluster")
     reached = near.join(cores, "b").groupBy("a").agg(F.min(F.when(F.col("a") == F.col("b"), F.col("cluster"))).alias("own"), F.min("cluster").alias("best"))
     out = reached.select(F.col("a").alias("id"), F.coalesce("own", "best").alias("cluster"))
@@ -134,7 +173,7 @@ def cluster_profiles(points: DataFrame, labels: DataFrame, modes: list[str]) ->
     return far.groupBy("cluster").agg(F.avg("km").alias("avg_distance_km"), F.max("km").alias("radius_km")).join(centre, "cluster")
 
 
-def kde(points: DataFrame, bandwidth_km: float, reach: float = 4.0, most_latitude: float = 54.0) -> DataFrame:
+def kde(points: DataFrame, bandwidth_km: float, reach: float = 4.0, most_latitude: float | None = None) -> DataFrame:
     """id, density_score: a Gaussian kernel in degrees, cut off at `reach` bandwidths."""
     h = bandwidth_km / geo.DEGREE_KM
     near = neighbours(points, points, bandwidth_km * reach, most_latitude, planar=True)
@@ -144,7 +183,7 @@ def kde(points: DataFrame, bandwidth_km: float, reach: float = 4.0, most_latitud
     return near.groupBy(F.col("a").alias("id")).agg((F.sum(weight) / (2 * 3.141592653589793 * h * h * max(1, n))).alias("density_score"))
 
 
-def hotspots(points: DataFrame, bandwidth_km: float = 5.0, percentile: float = 90.0, eps_km: float = 1.1, least: int = 5, modes: list[str] | None = None, most_latitude: float = 54.0) -> DataFrame:
+def hotspots(points: DataFrame, bandwidth_km: float = 5.0, percentile: float = 90.0, eps_km: float = 1.1, least: int = 5, modes: list[str] | None = None, most_latitude: float | None = None) -> DataFrame:
     """Clusters of the points at or above a percentile of the kernel density."""
     scored = cut(points.join(kde(points, bandwidth_km, most_latitude=most_latitude), "id"))
     floor = scored.agg(F.percentile("density_score", percentile / 100).alias("floor"))
@@ -157,6 +196,17 @@ def hotspots(points: DataFrame, bandwidth_km: float = 5.0, percentile: float = 9
     return out.join(full.withColumnRenamed("id", "cluster"), "cluster", "left").fillna({"village_count": 0})
 
 
+def naming_hotspots(points: DataFrame, tags: list[str], least_points: int = 10, **options) -> DataFrame:
+    """Hotspots of the places with each 0/1 tag column, by tag; tags with fewer places have none."""
+    out = None
+    for tag in tags:  # a lexicon's categories
+        here = points.filter(F.col(tag) == 1)
+        if here.limit(least_points).count() == least_points:
+            found = hotspots(here, **options).withColumn("tag", F.lit(tag))
+            out = found if out is None else out.unionByName(found)
+    return hotspots(points.limit(0), **options).withColumn("tag", F.lit("")) if out is None else out
+
+
 def _counts_within(centres: DataFrame, points: DataFrame, box: float = 0.25) -> DataFrame:
     """Points inside each centre's own radius, through the cells that its box covers."""
     reach = F.col("radius_km") / geo.DEGREE_KM + 1e-9
@@ -167,7 +217,7 @@ def _counts_within(centres: DataFrame, points: DataFrame, box: float = 0.25) ->
     return met.groupBy("id").agg(F.count(F.lit(1)).alias("village_count"))
 
 
-def counts_in_radius(centres: DataFrame, points: DataFrame, radii_km: tuple[float, ...], planar: bool = False, most_latitude: float = 54.0) -> DataFrame:
+def counts_in_radius(centres: DataFrame, points: DataFrame, radii_km: tuple[float, ...], planar: bool = False, most_latitude: float | None = None) -> DataFrame:
     """id, within_<r>km for fixed radii."""
     near = neighbours(centres, points, float(max(radii_km)), most_latitude, planar)
     counts = near.groupBy(F.col("a").alias("id")).agg(*[F.count_if(F.col("km") <= r).alias(f"within_{r:g}km") for r in radii_km])

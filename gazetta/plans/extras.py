@@ -32,19 +32,29 @@ def ngram_rollup_lift(spark, sf_dir):
     return rounded(out.select("city", "n", "position", "ngram", "frequency", "distinct_total", stats.lift(stats.ratio(f, F.col("total")), F.col("q")).alias("lift"), stats.lift(stats.ratio(f, F.col("distinct_total")), F.col("q")).alias("lift_of_distinct")))
 
 
-_PAIRS = [("霞露村尾厝", "霞露村"), ("陈家村石桥社区郑厝", "枫溪一村"), ("凤北超苟村", "凤北村"), ("輋格厝村", "凤新村"), ("大松水路头", "松水村"), ("王家村东", "王家村"), ("凤北村", "凤北村"), ("东石桥头", "石桥村")]
-_CASE = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{{}}'" for i in range(8)) + " END"
-_WANT = [("尾厝", "霞露村", "rule1_delimiter"), ("郑厝", "陈家村石桥社区", "rule1_delimiter"), ("超苟村", "凤北", "rule2_admin_match"), ("輋格厝村", "", "none"), ("路头", "大松水", "rule3_modifier"), ("王家村东", "", "none"), ("凤北村", "", "rule5_identical"), ("头", "", "none")]
+#: How part numbers become names: a parish, what may come between, and a hamlet, each by a remainder of the number.
+_PARISHES, _BETWEEN, _HAMLETS = ("青岗", "柳塘", "云台"), ("村", "", "社区", "大"), ("北坡", "东园", "渡口", "尾")
 
 
-@query("SELECT p_partkey AS id, " + ", ".join(_CASE.format(*[w[k] for w in [*_WANT[:7], ("东石桥头", "", "none")]]) + f" AS {n}" for k, n in enumerate(("name", "removed", "rule"))) + " FROM part")
+def _nth(values: tuple[str, ...], by: int) -> str:
+    return f"CASE (p_partkey // {by}) % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+@query(
+    f"WITH n AS (SELECT p_partkey AS id, {_nth(_PARISHES, 1)} AS parish, {_nth(_BETWEEN, 3)} AS between_, {_nth(_HAMLETS, 12)} AS hamlet, (p_partkey // 48) % 2 = 0 AS own FROM part), "
+    "s AS (SELECT *, CASE WHEN between_ = '大' THEN '大' || parish ELSE parish || between_ END AS lead_, CASE WHEN own THEN parish ELSE '红星' END AS bare FROM n), "
+    "r AS (SELECT *, CASE WHEN length(hamlet) < 2 THEN 'none' WHEN between_ IN ('村', '社区') THEN 'rule1_delimiter' WHEN NOT own THEN 'none' WHEN between_ = '大' THEN 'rule3_modifier' ELSE 'rule2_admin_match' END AS rule FROM s) "
+    "SELECT id, CASE WHEN rule = 'none' THEN lead_ || hamlet ELSE hamlet END AS name, CASE WHEN rule = 'none' THEN '' ELSE lead_ END AS removed, rule FROM r"
+)
 def prefix_clean(spark, sf_dir):
-    """Prefix rules over hand-made names dealt to all parts; the SQL states the known results."""
-    k = F.col("p_partkey") % 8
-    name, admin = F.lit(_PAIRS[-1][0]), F.lit(_PAIRS[-1][1])
-    for i, (n, a) in enumerate(_PAIRS[:-1]):
-        name, admin = F.when(k == i, n).otherwise(name), F.when(k == i, a).otherwise(admin)
-    out = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), text.clean_prefix(name, admin).alias("c"))
+    """Prefix rules over names made of every part's number; the SQL takes the names apart the way they were put together."""
+    def nth(values, by):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("p_partkey") / by) % len(values) + 1).cast("int"))
+
+    parish, between, hamlet = nth(_PARISHES, 1), nth(_BETWEEN, 3), nth(_HAMLETS, 12)
+    lead = F.when(between == "大", F.concat(between, parish)).otherwise(F.concat(parish, between))
+    admin = F.concat(F.when(F.floor(F.col("p_partkey") / 48) % 2 == 0, parish).otherwise(F.lit("红星")), F.lit("村"))
+    out = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), text.clean_prefix(F.concat(lead, hamlet), admin).alias("c"))
     return out.select("id", "c.name", "c.removed", "c.rule")  # confidence follows from the rule
 
 

@@ -85,6 +85,12 @@ def dbscan(spark, sf_dir):
     return _labels(spark, sf_dir)
 
 
+@query(_DBSCAN.replace(f"{_AB} <= {_EPS}", f"{_AB} <= 24.0") + "SELECT id, cluster FROM labels")
+def dbscan_wide(spark, sf_dir):
+    """With a radius that joins small tables' points, too."""
+    return spatial.dbscan(points(spark, sf_dir), 24.0, _LEAST)
+
+
 @query(
     _DBSCAN + ", r AS (SELECT points.*, cluster FROM points JOIN labels USING (id) WHERE cluster >= 0), ce AS (SELECT cluster, count(*) AS size, avg(lon) AS lon, avg(lat) AS lat FROM r GROUP BY cluster), "
     "md AS (SELECT cluster, min(city) AS dominant_city FROM (SELECT cluster, city, count(*) AS n, max(count(*)) OVER (PARTITION BY cluster) AS m FROM r GROUP BY cluster, city) WHERE n = m GROUP BY cluster) "
@@ -105,7 +111,17 @@ def kde_hotspots(spark, sf_dir):
     return rounded(scored.join(F.broadcast(floor)).select("id", "density_score", (F.col("density_score") >= F.col("floor")).alias("is_hot")))  # a single row
 
 
-@query()
+_HOT = _DBSCAN[_DBSCAN.index("core AS") : _DBSCAN.index("labels AS")].rstrip(", ").replace(f">= {_LEAST}", ">= 3")
+
+
+@query(
+    f"WITH RECURSIVE {POINTS_SQL}, {_KDE}, hp AS MATERIALIZED (SELECT points.*, density_score FROM points JOIN dens USING (id) WHERE density_score >= (SELECT quantile_cont(density_score, 0.8) FROM dens)), near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM hp a JOIN hp b ON {_PAB} <= 40.0), {_HOT}, "
+    "r AS (SELECT hp.*, cluster FROM hp JOIN lab USING (id)), ce AS (SELECT cluster, count(*) AS size, avg(lon) AS lon, avg(lat) AS lat, avg(density_score) AS dens FROM r GROUP BY cluster), "
+    "md AS (SELECT cluster, min(city) AS dominant_city FROM (SELECT cluster, city, count(*) AS n, max(count(*)) OVER (PARTITION BY cluster) AS m FROM r GROUP BY cluster, city) WHERE n = m GROUP BY cluster), "
+    f"pr AS (SELECT a.cluster, avg({_PAB}) AS far, max({_PAB}) AS radius FROM r a JOIN ce b USING (cluster) GROUP BY a.cluster) "
+    f"SELECT pr.cluster, any_value(b.size) AS size, round(any_value(b.lon), 6) AS centroid_lon, round(any_value(b.lat), 6) AS centroid_lat, any_value(dominant_city) AS dominant_city, round(any_value(far), 6) AS avg_distance_km, round(any_value(radius), 6) AS radius_km, round(any_value(b.dens), 6) AS mean_density, count(*) FILTER ({_PAB} <= radius + 1e-9) AS village_count "
+    "FROM pr JOIN ce b USING (cluster) JOIN md USING (cluster), points a GROUP BY pr.cluster"
+)
 def hotspot_clusters(spark, sf_dir):
     return rounded(spatial.hotspots(points(spark, sf_dir), _H, 80.0, 40.0, 3, ["city"], LATITUDE))
 
@@ -213,12 +229,20 @@ def network_neighbors(spark, sf_dir):
     return graph.top_neighbours(_edges(spark, sf_dir), 3)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_EDGES}, moves AS MATERIALIZED (SELECT a, b, weight::DOUBLE / sum(weight) OVER (PARTITION BY a) AS share FROM both_), size AS MATERIALIZED (SELECT count(DISTINCT a)::DOUBLE AS n FROM both_), "
+    "r AS (SELECT DISTINCT a AS node, 0 AS i, 1.0 / n AS rank FROM moves, size UNION ALL SELECT moves.b, r.i + 1, 0.15 / any_value(size.n) + 0.85 * sum(r.rank * moves.share) FROM r JOIN moves ON moves.a = r.node, size WHERE r.i < 50 GROUP BY moves.b, r.i) "
+    "SELECT node, round(rank, 6) AS rank FROM r WHERE i = 50"
+)
 def pagerank(spark, sf_dir):
     return rounded(graph.pagerank(_edges(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_EDGES}, arcs AS MATERIALIZED (SELECT a, b, weight FROM both_ UNION ALL SELECT a, a, max(weight) FROM both_ GROUP BY a), "
+    "l AS (SELECT DISTINCT a AS node, a AS label, 0 AS i FROM arcs UNION ALL SELECT a, arg_min(label, (-w, label)), i + 1 FROM (SELECT arcs.a, l.label, l.i, sum(weight) AS w FROM arcs JOIN l ON l.node = arcs.b WHERE l.i < 20 GROUP BY arcs.a, l.label, l.i) GROUP BY a, i) "
+    "SELECT node, label FROM l WHERE i = 20"
+)
 def label_propagation(spark, sf_dir):
     return graph.label_propagation(_edges(spark, sf_dir))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from gazetta.functions import text
 from gazetta.operators import frequency, graph, ml, ngrams, regions, semantic, spatial, vectors
 from gazetta.sources.lexicon import flattened, label_pairs, lexicon
 from gazetta.sources.schema import Hierarchy
+from gazetta.sources.storage import checksum
 from gazetta.sources.tables import Tables
 
 
@@ -35,8 +37,13 @@ class Settings:
     eps_km: float = 0.5
     least_points: int = 5
     bandwidth_km: float = 5.0
-    most_latitude: float = 54.0
+    most_latitude: float | None = None  # of the points; looked up without one
     clusters: tuple[int, ...] = (2, 3, 4)
+    #: Names of pairs of neighbouring categories: (name, first ones, second ones); without any, all labelled pairs have one name.
+    pairs: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = ()
+    #: Categories that hardly go together, and how often a sequence with both must occur not to count as odd.
+    incompatible: tuple[tuple[str, str], ...] = (("water", "terrain"),)
+    odd_below: int = 5
 
     def __post_init__(self):
         unknown = set(self.levels) - set(self.hierarchy.levels)
@@ -160,6 +167,8 @@ def semantics(c: Context) -> None:
     c.tables.write("semantic_indices", _each_level(c, lambda keys: semantic.indices(scored, keys, [*groups])))
     g = c.tables.read("char_frequency_global")
     sub = lex.filter("subcategory <> ''")
+    members = g.join(sub.select("char", "category", "subcategory").distinct(), "char").groupBy("category", "subcategory")
+    c.tables.write("semantic_subcategory_vtf_global", members.agg(F.countDistinct("char").alias("chars"), F.sum("village_count").alias("vtf_count"), (F.sum("village_count") / F.max("total_villages")).alias("share")))
     c.tables.write("semantic_subcategory_vtf_regional", _each_level(c, lambda keys: semantic.subcategory_tendency(frequency.regional_frequency(p, _chars(), keys), g, sub, keys)))
 
 
@@ -168,6 +177,10 @@ def composition(c: Context) -> None:
     seqs = c.places().withColumn("sequence", semantic.sequence(F.col("name"), labels))
     c.tables.write("semantic_bigrams", semantic.label_ngrams(seqs, 2))
     c.tables.write("semantic_trigrams", semantic.label_ngrams(seqs, 3))
+    s = c.settings
+    rules = [(n, set(a), set(b)) for n, a, b in s.pairs] or [("labelled", set(s.lexicon), set(s.lexicon))]
+    c.tables.write("semantic_composition_patterns", semantic.pattern_rules(c.tables.read("semantic_bigrams"), rules))
+    c.tables.write("semantic_conflicts", semantic.conflicts(seqs, [*s.incompatible], s.odd_below))
     c.tables.write("semantic_pmi", semantic.bigram_pmi(c.tables.read("semantic_bigrams")))
     c.tables.write("village_semantic_structure", semantic.structures(c.places(), labels).select("village_id", "sequence", "coverage"))
     pairs = semantic.cooccurrence_measures(semantic.cooccurrence(c.places(), label_pairs(c.settings.lexicon)))
@@ -193,6 +206,8 @@ def space(c: Context) -> None:
     c.tables.write("village_cluster_assignments", labels.withColumnRenamed("id", "village_id"))
     labels = c.tables.read("village_cluster_assignments").withColumnRenamed("village_id", "id")
     c.tables.write("spatial_clusters", spatial.cluster_profiles(p, labels, [*s.hierarchy.key(s.levels[-1])]))
+    centres = regions.rollup(p, s.hierarchy, F.count(F.lit(1)).alias("villages"), F.avg("lon").alias("centroid_lon"), F.avg("lat").alias("centroid_lat"))
+    c.tables.write("regional_centroids", centres)
     c.tables.write("region_spatial_aggregates", spatial.regional_aggregates(c.tables.read("village_spatial_features"), ["city"]))
     c.tables.write("spatial_hotspots", spatial.hotspots(p, s.bandwidth_km, most_latitude=s.most_latitude))
     c.tables.write("spatial_tendency_integration", spatial.integration(p, labels, _chars()))
@@ -278,12 +293,22 @@ def plan(wanted: list[str], done: tuple[str, ...] = ()) -> list[str]:
     return out
 
 
-def run(spark: SparkSession, raw: DataFrame, root: str, settings: Settings, wanted: list[str] | None = None, dry_run: bool = False) -> list[str]:
-    """Preprocesses `raw` and runs the phases into tables under `root`."""
+def recorded(c: Context, run_id: str, done: list[str]) -> None:
+    """A row per phase of the run, and a checksum of its character counts."""
+    now = datetime.now(UTC).isoformat(timespec="seconds")
+    rows = [(f"{run_id}/{name}", name, now, {"levels": ",".join(c.settings.levels)}) for name in done]
+    c.tables.write("analysis_runs", c.spark.createDataFrame(rows, "run_id string, kind string, created_at string, parameters map<string,string>"))
+    if "character_frequency" in done:
+        c.tables.write("run_snapshots", checksum(c.tables.read("char_frequency_global"), "char", "village_count").withColumn("run_id", F.lit(run_id)))
+
+
+def run(spark: SparkSession, raw: DataFrame, root: str, settings: Settings, wanted: list[str] | None = None, dry_run: bool = False, run_id: str = "run") -> list[str]:
+    """Preprocesses `raw` and runs the phases into tables under `root`, which also get a record of the run."""
     order = plan(wanted or [*PHASES])
     if not dry_run:
         c = Context(spark, Tables(spark, root), settings)
         preprocess(c, raw)
         for name in order:
             PHASES[name][1](c)
+        recorded(c, run_id, order)
     return order

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder of spark.checkpoint.dir; a temporary one
-    is made only where the session names none."""
+    is made only in a local session that names none."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gazetta-"))
     return df.checkpoint()
 
@@ -29,7 +31,8 @@ def save(df: DataFrame, path: str, keys: list[str] | None = None, columns: list[
             df = df.withColumn(name, F.when(F.isnan(name), None).otherwise(F.col(name)))
     if keys:
         rest = [c for c in df.columns if c not in keys]
-        order = newest if newest is not None else F.struct(*rest) if rest else F.lit(0)
+        sortable = [c for c in rest if "map<" not in dict(df.dtypes)[c]]  # maps have no order
+        order = newest if newest is not None else F.struct(*sortable) if sortable else F.lit(0)
         picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__row")) if rest else df.distinct()
         df = picked.select(*keys, "__row.*").select(*df.columns) if rest else picked
     df.write.mode("overwrite").parquet(path)

@@ -193,3 +193,47 @@ def test_streaming_counts(spark, tmp_path):
     counts = spark.table("out")
     assert counts.agg(F.sum("n")).first()[0] == 12
     assert tendency.windowed_tendency(counts).filter("lift IS NULL").isEmpty()
+
+
+def test_neighbours_anywhere_on_the_globe(spark):
+    """Against all pairs: high latitudes, both hemispheres, the 180th meridian and a pole."""
+    import random
+    from math import asin, cos, radians, sin, sqrt
+
+    from gazetta.operators import spatial
+
+    rng = random.Random(4)
+    rows = []
+    for lat, lon in ((65.0, 20.0), (-68.0, 179.95), (10.0, -179.98), (89.9, 0.0), (0.0, 0.0)):
+        for _ in range(25):
+            x = lon + rng.uniform(-0.3, 0.3) / max(0.02, cos(radians(lat)))
+            rows.append((len(rows), (x + 180) % 360 - 180, max(-90.0, min(90.0, lat + rng.uniform(-0.2, 0.2)))))
+
+    def km(p, q):
+        h = sin(radians(q[2] - p[2]) / 2) ** 2 + cos(radians(p[2])) * cos(radians(q[2])) * sin(radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6371.0 * asin(sqrt(min(1.0, h)))
+
+    points = spark.createDataFrame(rows, "id long, lon double, lat double")
+    for radius in (10.0, 300.0):
+        want = {(p[0], q[0]) for p in rows for q in rows if km(p, q) <= radius}
+        got = [(r["a"], r["b"]) for r in spatial.neighbours(points, points, radius).collect()]
+        assert len(got) == len(set(got)) and {*got} == want
+    near = {(r["a"], r["rank"]): r["b"] for r in spatial.nearest(points, 3).collect()}
+    for p in rows:
+        others = sorted((km(p, q), q[0]) for q in rows if q is not p)
+        assert [near[p[0], k] for k in (1, 2, 3)] == [i for _, i in others[:3]]
+
+
+def test_numbers_follow_the_order(spark):
+    from gazetta.operators import spatial
+
+    rows = spatial.numbered(spark.range(0, 1000, 3).repartition(5), "id", "n").collect()
+    assert sorted((r["id"], r["n"]) for r in rows) == [(3 * k, k) for k in range(334)]
+
+
+def test_naming_hotspots(spark):
+    from gazetta.operators import spatial
+
+    rows = [(i, 10 + (i % 7) * 0.001, 20 + (i % 5) * 0.001, int(i < 60), int(i < 3)) for i in range(90)] + [(100 + i, 11.0 + i, 25.0, 1, 0) for i in range(5)]
+    found = spatial.naming_hotspots(spark.createDataFrame(rows, "id long, lon double, lat double, t_a int, t_b int"), ["t_a", "t_b"], bandwidth_km=2.0, least=4)
+    assert {r["tag"] for r in found.collect()} == {"t_a"}
