@@ -132,7 +132,7 @@ def by_ids(places: DataFrame, ids: list, id_col: str = "id") -> DataFrame:
     """Rows with one of the ids, given with or without the prefix of village ids."""
     bare = [str(i).removeprefix("v_") for i in dict.fromkeys(ids)]
     wanted = places.sparkSession.createDataFrame([(b,) for b in bare], "__id string")
-    return places.join(F.broadcast(wanted), F.regexp_replace(F.col(id_col).cast("string"), "^v_", "") == F.col("__id"), "left_semi")
+    return places.join(wanted, F.regexp_replace(F.col(id_col).cast("string"), "^v_", "") == F.col("__id"), "left_semi")
 
 
 def top(df: DataFrame, order: list[Column], n: int, **equal) -> DataFrame:

@@ -85,8 +85,9 @@ def degree(edges: DataFrame) -> DataFrame:
     """node, degree, weighted_degree and the degree's share of all other nodes."""
     both = edges.select(F.col("a").alias("node"), "weight").unionByName(edges.select(F.col("b").alias("node"), "weight"))
     out = both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weighted_degree"))
-    others = F.count(F.lit(1)).over(Window.partitionBy()) - 1
-    return out.withColumn("centrality", F.col("degree") / F.nullif(others.cast("double"), F.lit(0.0)))
+    nodes = both.agg(F.count_distinct("node").alias("__nodes"))
+    others = (F.col("__nodes") - 1).cast("double")
+    return out.join(F.broadcast(nodes)).withColumn("centrality", F.col("degree") / F.nullif(others, F.lit(0.0))).drop("__nodes")  # a single row
 
 
 def top_neighbours(edges: DataFrame, k: int) -> DataFrame:

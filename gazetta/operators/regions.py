@@ -97,12 +97,21 @@ def full_outer(frames: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, stratum: str, share: float, id_col: str, seed: int = 42) -> DataFrame:
-    """A share of each stratum, at least one row, chosen by a seeded digest of the id."""
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
-    w = Window.partitionBy(stratum)
-    rank = F.row_number().over(w.orderBy(order, id_col))
-    quota = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) * share))
-    return df.withColumns({"__r": rank, "__q": quota}).filter("__r <= __q").drop("__r", "__q")
+    """A share of each stratum, at least one row, chosen by a seeded digest of the id.
+
+    Rows are counted by the digest's first four digits, which gives the buckets to take whole and the
+    one to take in part; so only rows of one bucket are ranked together, however large the stratum.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
+    rows = df.withColumn("__o", digest).withColumn("__b", F.substring("__o", 1, 4))
+    sizes = rows.groupBy(F.col(stratum).alias("__s"), F.col("__b").alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__s")  # at most 65,536 rows each
+    quota = F.greatest(F.lit(1), F.floor(F.sum("__n").over(w) * share))
+    before = F.sum("__n").over(w.orderBy("__k")) - F.col("__n")
+    takes = sizes.withColumn("__take", quota - before).filter("__take > 0").drop("__n")
+    kept = rows.join(takes, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__k")))
+    rank = F.row_number().over(Window.partitionBy("__s", "__k").orderBy("__o", id_col))
+    return kept.withColumn("__r", rank).filter("__r <= __take").select(*df.columns)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, tie: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -152,16 +152,47 @@ def dbscan(points: DataFrame, radius_km: float, least: int, most_latitude: float
 
     A core has `least` points within the radius, itself included. Clusters are the
     components of cores; a border point belongs to its reachable core with the smallest cluster.
+
+    Points in one cell with a diagonal below the radius are all neighbours: where there are `least`
+    of them no pair is formed, and a cell's cores are one node of the graph. Cells are linked by their
+    outermost cores; cores meet in full only where two cells that are near enough are still in different components.
     """
-    near = cut(neighbours(points, points, radius_km, most_latitude, planar).select("a", "b"))
-    core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("core"))
-    first = near.join(core, near["a"] == core["core"]).drop("core")
-    links = first.join(core, first["b"] == core["core"]).select("a", "b")
-    roots = connected_components(core.withColumnRenamed("core", "node"), links)
-    numbers = cut(numbered(roots.select("root").distinct(), "root", "cluster"))
-    cores = roots.join(numbers, "root").select(F.col("node").alias("b"), "cluster")
-    reached = near.join(cores, "b").groupBy("a").agg(F.min(F.when(F.col("a") == F.col("b"), F.col("cluster"))).alias("own"), F.min("cluster").alias("best"))
-    out = reached.select(F.col("a").alias("id"), F.coalesce("own", "best").alias("cluster"))
+    most_latitude = 0.0 if planar else highest(points) if most_latitude is None else most_latitude
+
+    def near(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+        return neighbours(left, right, km, most_latitude, planar)
+
+    size = radius_km / (1.415 * 111.2)  # degrees, a little less than radius / sqrt(2)
+    place = F.struct("id", "lon", "lat")
+    placed = points.filter("lon IS NOT NULL AND lat IS NOT NULL").select("id", "lon", "lat", geo.cell(F.col("lon"), size).alias("__x"), geo.cell(F.col("lat"), size).alias("__y"))
+    placed = cut(placed.join(placed.groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__n")), ["__x", "__y"]))
+    few = placed.filter(F.col("__n") < least)
+    others = near(few, placed, radius_km).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    marked = cut(placed.join(others, "id", "left").withColumn("core", (F.col("__n") >= least) | F.col("n").isNotNull()).drop("__n", "n"))
+    cores, rest = marked.filter("core"), marked.filter("NOT core")
+
+    lon, lat = F.col("lon"), F.col("lat")
+    ends = [end(place, by) for by in (lon, lat, lon + lat, lon - lat) for end in (F.min_by, F.max_by)]
+    cells = cut(cores.groupBy("__x", "__y").agg(F.min("id").alias("node"), F.array_distinct(F.array(*ends)).alias("__ends")))
+    outer = cells.select("node", F.explode("__ends").alias("e")).select(F.col("node").alias("id"), "e.lon", "e.lat")
+    roots = cut(connected_components(cells.select("node"), near(outer, outer, radius_km).select("a", "b")))
+
+    middle = [((F.col(c) + 0.5) * size).alias(n) for c, n in (("__x", "lon"), ("__y", "lat"))]
+    middles = cells.join(roots, "node").select(F.struct("node", "root").alias("id"), *middle)
+    apart = near(middles, middles, radius_km * 2.001).filter("a.root < b.root").select("a", "b")
+    named = cores.join(cells.select("__x", "__y", "node"), ["__x", "__y"])
+    left = named.select(F.col("node").alias("u"), lon.alias("lon1"), lat.alias("lat1"))
+    right = named.select(F.col("node").alias("v"), lon.alias("lon2"), lat.alias("lat2"))
+    measure = geo.planar_km if planar else geo.haversine_km
+    met = apart.join(left, F.col("a.node") == F.col("u")).join(right, F.col("b.node") == F.col("v"))
+    links = met.filter(measure(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")) <= radius_km).select(F.col("a.root").alias("a"), F.col("b.root").alias("b"))
+    joined = connected_components(roots.select(F.col("root").alias("node")).distinct(), links).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    joined = cut(joined)
+    numbers = numbered(joined.select("whole").distinct(), "whole", "cluster")
+    clusters = roots.join(joined, "root").join(numbers, "whole").select("node", "cluster")
+    labelled = cut(named.join(clusters, "node").select("id", "lon", "lat", "cluster"))
+    border = near(rest, labelled.select(F.col("cluster").alias("id"), "lon", "lat"), radius_km).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("cluster"))
+    out = labelled.select("id", "cluster").unionByName(border)
     return points.select("id").join(out, "id", "left").fillna({"cluster": -1})
 
 

@@ -35,12 +35,14 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, table: DataFrame, k: int, id_col: str = "id", vector: str = "vector", least: float | None = None, blocks: int = 8) -> DataFrame:
+def nearest(queries: DataFrame, table: DataFrame, k: int, id_col: str = "id", vector: str = "vector", least: float | None = None, blocks: int | None = None) -> DataFrame:
     """(query, id, similarity, rank): the k most similar rows of each query, itself left out.
 
     Each block of the table keeps its own k best of a query, so that
-    what meets for the final rank is k times the number of blocks.
+    what meets for the final rank is k times the number of blocks. There is a block
+    for every 10,000 rows, and eight at least.
     """
+    blocks = blocks or max(8, -(-table.count() // 10_000))
     q = queries.select(F.col(id_col).alias("query"), unit(F.col(vector)).alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
     t = table.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("__t"))
     t = t.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))

@@ -93,7 +93,7 @@ def preprocess(c: Context, raw: DataFrame) -> None:
     named = cleaned.withColumn("raw_name", F.col("name")).withColumn("name", F.col("__c.clean_name")).drop("__c")
     h = [x for x in c.settings.hierarchy.levels if x in named.columns]
     order = [*h, "raw_name", *[x for x in ("id", "lon", "lat") if x in named.columns]]
-    named = named.withColumn("village_id", F.concat(F.lit("v_"), F.hex(F.xxhash64(*[F.coalesce(F.col(x).cast("string"), F.lit("\0")) for x in order]))))
+    named = named.withColumn("village_id", F.concat(F.lit("v_"), F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(x).cast("string"), F.lit("\0")) for x in order]))))
     c.tables.write("places", named)
     c.tables.write("metadata_overview", regions.overview(c.places(), c.settings.hierarchy, _chars()))
     c.tables.write("region_basic_stats", regions.rollup(c.places(), c.settings.hierarchy, F.count(F.lit(1)).alias("villages"), F.avg(F.length("name")).alias("avg_length")))

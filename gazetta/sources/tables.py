@@ -7,6 +7,7 @@ to one, so that running a phase again never doubles it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gazetta.sources.storage import save
 
@@ -93,8 +94,12 @@ class Tables:
 
     def catalogue(self) -> DataFrame:
         """table, columns, rows of all tables that exist."""
-        rows = [(n, self.read(n).columns, self.read(n).count()) for n in self.install()]
-        return self.spark.createDataFrame(rows, "table string, columns array<string>, rows long")
+        out = self.spark.createDataFrame([], "table string, columns array<string>, rows long")
+        for n in self.install():
+            df = self.read(n)
+            names = F.array(*[F.lit(c) for c in df.columns]).alias("columns")
+            out = out.unionByName(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), names, "rows"))
+        return out
 
     def keep_only(self, names: list[str], dry_run: bool = True) -> list[str]:
         """Names the other tables that exist; without dry_run they are emptied."""

@@ -1,5 +1,9 @@
 """Operators on tables of a few rows."""
 
+import hashlib
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +72,66 @@ def test_clusters_and_noise(points):
     assert rows(got, "cluster", "size", "dominant_city") == [(0, 3, "a"), (1, 3, "b")]
 
 
+def clustered(rows, radius, least, planar):
+    """DBSCAN by all pairs."""
+    def km(p, q):
+        if planar:
+            return 111.0 * math.dist(p[1:], q[1:])
+        a, b, c, d = map(math.radians, (p[1], p[2], q[1], q[2]))
+        h = math.sin((d - b) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((c - a) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+
+    near = {p[0]: [q[0] for q in rows if km(p, q) <= radius] for p in rows}
+    core = {p for p in near if len(near[p]) >= least}
+    label, count = {}, 0
+    for p in sorted(core):
+        if p not in label:
+            stack, label[p] = [p], count
+            while stack:
+                for q in near[stack.pop()]:
+                    if q in core and q not in label:
+                        label[q] = count
+                        stack.append(q)
+            count += 1
+    border = {p: min((label[q] for q in near[p] if q in core), default=-1) for p in near if p not in core}
+    return label | border
+
+
+@pytest.mark.parametrize(
+    "lon, lat, spread, radius, least, planar", [(179.9, 65.0, 0.5, 8.0, 4, False), (100.0, 20.0, 0.1, 3.0, 5, False), (10.0, 45.0, 0.3, 6.0, 8, True), (0.0, 0.0, 0.4, 5.0, 1, False)]
+)
+def test_clusters_like_all_pairs(spark, lon, lat, spread, radius, least, planar):
+    draw = random.Random(7)
+    rows_ = [(i, (lon + draw.gauss(0, spread) * draw.choice((1, 0.2)) + 180) % 360 - 180, lat + draw.gauss(0, spread / 2)) for i in range(150)]
+    rows_ += [(150 + i, lon, lat) for i in range(20)]  # equal places
+    df = spark.createDataFrame([*rows_, (999, None, None)], "id long, lon double, lat double")
+    assert dict(rows(spatial.dbscan(df, radius, least, planar=planar), "id", "cluster")) == clustered(rows_, radius, least, planar) | {999: -1}
+
+
+def test_cells_that_meet_by_an_inner_core(spark):
+    """None of the first cell's outermost cores reaches the second cell, but one between them does."""
+    rows_ = [(0, 0.0266, 0.0005), (1, 0.0266, 0.026), (2, 0.001, 0.0133), (3, 0.026, 0.0133), (4, 0.0635, 0.0133), (5, 0.075, 0.0133)]
+    df = spark.createDataFrame(rows_, "id long, lon double, lat double")
+    assert set(dict(rows(spatial.dbscan(df, 4.2, 2, planar=True), "id", "cluster")).values()) == {0}
+    for radius in (4.1, 4.2, 4.4):
+        assert dict(rows(spatial.dbscan(df, radius, 2, planar=True), "id", "cluster")) == clustered(rows_, radius, 2, True)
+
+
+def test_empty_tables_have_no_clusters(points):
+    assert spatial.dbscan(points.limit(0), 5.0, 2).isEmpty()
+
+
+def test_stratified_sample(spark):
+    kind = F.when(F.col("id") % 3 == 0, F.lit("a")).when(F.col("id") % 1000 == 1, F.lit("b")).when(F.col("id") % 7 != 1, F.lit("c"))
+    df = spark.range(5000).select(kind.alias("s"), "id")
+    want = set()
+    for s in ("a", "b", "c", None):
+        ids = sorted((r.id for r in df.collect() if r.s == s), key=lambda i: hashlib.md5(f"1|{i}".encode()).hexdigest())
+        want |= {(s, i) for i in ids[: max(1, int(len(ids) * 0.05))]}
+    assert {(r.s, r.id) for r in regions.stratified_sample(df, "s", 0.05, "id", 1).collect()} == want
+    assert regions.stratified_sample(df.limit(0), "s", 0.05, "id").isEmpty()
+
+
 def test_neighbours(points):
     got = spatial.nearest(points, 2, 1.0, 30.0)
     assert rows(got.filter("a = 0"), "b", "rank") == [(1, 1), (2, 2)]
