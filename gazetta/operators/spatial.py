@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazetta.functions import geo, stats
+from gazetta.operators import tiles
 from gazetta.operators.graph import connected_components
 from gazetta.sources.storage import cut
 
@@ -205,13 +206,15 @@ def cluster_profiles(points: DataFrame, labels: DataFrame, modes: list[str]) ->
 
 
 def kde(points: DataFrame, bandwidth_km: float, reach: float = 4.0, most_latitude: float | None = None) -> DataFrame:
-    """id, density_score: a Gaussian kernel in degrees, cut off at `reach` bandwidths."""
+    """id, density_score: a Gaussian kernel in degrees, cut off at `reach` bandwidths.
+
+    `most_latitude` changes nothing, as distances are planar; points without coordinates have no row.
+    """
     h = bandwidth_km / geo.DEGREE_KM
-    near = neighbours(points, points, bandwidth_km * reach, most_latitude, planar=True)
+    side = bandwidth_km * reach / _DEGREE
+    sums = tiles.pair_sums(points.select("id", "lon", "lat"), tiles.Gaussian(bandwidth_km, bandwidth_km * reach), side, side, 0, ["__sum"])
     n = points.count()
-    degrees = F.col("km") / geo.DEGREE_KM
-    weight = F.exp(-degrees * degrees / (2 * h * h))
-    return near.groupBy(F.col("a").alias("id")).agg((F.sum(weight) / (2 * 3.141592653589793 * h * h * max(1, n))).alias("density_score"))
+    return sums.groupBy("id").agg((F.sum("__sum") / (2 * 3.141592653589793 * h * h * max(1, n))).alias("density_score"))
 
 
 def hotspots(points: DataFrame, bandwidth_km: float = 5.0, percentile: float = 90.0, eps_km: float = 1.1, least: int = 5, modes: list[str] | None = None, most_latitude: float | None = None) -> DataFrame:
