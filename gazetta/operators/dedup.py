@@ -19,18 +19,29 @@ def deletions(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(name), cut))
 
 
-def block_pairs(places: DataFrame, keys: list[str], condition: Column, name: str = "name", ways: Column | None = None) -> DataFrame:
-    """Pairs a.id < b.id in an administrative block whose names meet a condition on a.* and b.*.
+def block_pairs(places: DataFrame, keys: list[str], condition: Column, name: str = "name", ways: Column | None = None, facts: dict[str, Column] | None = None) -> DataFrame:
+    """Pairs a.id < b.id in an administrative block whose names meet a condition on a.name and b.name.
 
-    Only names with one of their `ways` in common meet (an array column; names with
-    one character left out by default, which loses no pair within one edit).
+    Only names with one of their `ways` in common meet (an array column of the name; names with
+    one character left out by default, which loses no pair within one edit). Different names of a block meet first, once
+    however many places have them; the condition and `facts` (further columns of a.name and b.name) are found then,
+    and the places with such names follow. No side is broadcast: Spark takes rows for as few as they were before the ways.
     """
-    distinct = places.select("id", *keys, F.col(name).alias("name"), (deletions(F.col(name)) if ways is None else ways).alias("__ways"))
-    rows = distinct.withColumn("__way", F.explode("__ways")).drop("__ways")
-    a, b = rows.alias("a"), rows.alias("b")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__way"]])
-    met = a.join(b, same & (F.col("a.id") < F.col("b.id")) & condition)
-    return met.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b")).distinct()
+    rows = places.select("id", *keys, F.col(name).alias("name")).distinct()
+    own = deletions(F.col(name)) if ways is None else ways
+    names = places.select(*keys, F.col(name).alias("name"), own.alias("__ways")).distinct()
+    met = names.withColumn("__way", F.explode("__ways")).drop("__ways")
+
+    def same(left: str, right: str, columns: list[tuple[str, str]]) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{d}")) for c, d in columns])
+
+    block = [(k, k) for k in keys]
+    close = met.alias("a").join(met.hint("merge").alias("b"), same("a", "b", [*block, ("__way", "__way")]) & condition)
+    more = {} if facts is None else facts
+    close = close.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b")).agg(*[F.first(c).alias(n) for n, c in more.items()] or [F.lit(0).alias("__one")])
+    first = close.alias("n").join(rows.hint("merge").alias("a"), same("n", "a", [*block, ("name_a", "name")])).select("n.*", F.col("a.id").alias("id_a"))
+    both = first.alias("n").join(rows.hint("merge").alias("b"), same("n", "b", [*block, ("name_b", "name")]) & (F.col("n.id_a") < F.col("b.id")))
+    return both.select(*[F.col(f"n.{k}").alias(k) for k in keys], F.col("n.id_a").alias("id_a"), F.col("b.id").alias("id_b"), "n.name_a", "n.name_b", *[F.col(f"n.{x}") for x in more])
 
 
 def pair_rules(a: Column, b: Column, km: Column | None = None) -> Column:

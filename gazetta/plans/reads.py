@@ -202,10 +202,13 @@ _PAIR = (
 def duplicate_severity(spark, sf_dir):
     """How surely two close names of a block are one place, by the rules that they meet and their distance."""
     p = places(spark, sf_dir).withColumn("name", F.split_part("name", F.lit(" "), F.lit(1)))
-    out = dedup.block_pairs(p, ["city", "county"], F.levenshtein(F.col("a.name"), F.col("b.name"), 1) >= 0)
+    rules = dedup.pair_rules(F.col("a.name"), F.col("b.name"))
+    kinds = {"merge": dedup.merge_severity, "fuzzy": dedup.fuzzy_severity}
+    facts = {f"{k}_{n}": severity(rules, F.lit(most)) for k, severity in kinds.items() for n, most in (("near", 0.5), ("far", 1.0))}
+    out = dedup.block_pairs(p, ["city", "county"], F.levenshtein(F.col("a.name"), F.col("b.name"), 1) >= 0, facts=facts)
     km = ((F.col("id_a") * 31 + F.col("id_b") * 17) % 15).cast("double") / 10.0
-    out = out.withColumn("km", km).withColumn("rules", dedup.pair_rules(F.col("name_a"), F.col("name_b"), F.col("km")))
-    return out.select("id_a", "id_b", dedup.merge_severity(F.col("rules"), F.col("km")).alias("merge"), dedup.fuzzy_severity(F.col("rules"), F.col("km")).alias("fuzzy"))
+    # severities change at these two distances only, so they are found once for names, not for each pair of places
+    return out.select("id_a", "id_b", *[F.when(km <= 0.5, F.col(f"{k}_near")).when(km <= 1, F.col(f"{k}_far")).otherwise("none").alias(k) for k in kinds])
 
 
 @query("SELECT category, string_agg(char, '' ORDER BY ord) AS chars FROM " + _L + " t WHERE subcategory <> 'other' GROUP BY category")

@@ -301,3 +301,24 @@ def test_naming_hotspots(spark):
     rows = [(i, 10 + (i % 7) * 0.001, 20 + (i % 5) * 0.001, int(i < 60), int(i < 3)) for i in range(90)] + [(100 + i, 11.0 + i, 25.0, 1, 0) for i in range(5)]
     found = spatial.naming_hotspots(spark.createDataFrame(rows, "id long, lon double, lat double, t_a int, t_b int"), ["t_a", "t_b"], bandwidth_km=2.0, least=4)
     assert {r["tag"] for r in found.collect()} == {"t_a"}
+
+
+def test_block_pairs_look_at_different_names_once(spark):
+    """However many places have a name, its pairs with other names are measured once; nothing is broadcast."""
+    from pyspark.sql.functions import udf
+
+    looked = spark.sparkContext.accumulator(0)
+
+    @udf("boolean")
+    def close(a, b):
+        looked.add(1)
+        return None not in (a, b) and (a[:-1] == b[:-1] or a == b)
+
+    rows_ = [(i, "c", ("hill a", "hill b", "dale")[i % 3]) for i in range(90)] + [(90, "d", "hill a"), (91, None, "dale"), (92, None, "dale"), (93, "c", None)]
+    p = spark.createDataFrame(rows_, "id int, city string, name string")
+    out = dedup.block_pairs(p, ["city"], close(F.col("a.name"), F.col("b.name")), facts={"same": F.col("a.name") == F.col("b.name")})
+    got = sorted((r["id_a"], r["id_b"], r["same"]) for r in out.collect())
+    near = {("hill a", "hill b"), ("hill b", "hill a")}
+    want = [(a[0], b[0], a[2] == b[2]) for a in rows_ for b in rows_ if a[0] < b[0] and a[1] == b[1] and a[2] and b[2] and (a[2] == b[2] or (a[2], b[2]) in near)]
+    assert got == sorted(want)
+    assert looked.value <= 60
