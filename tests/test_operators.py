@@ -322,3 +322,10 @@ def test_block_pairs_look_at_different_names_once(spark):
     want = [(a[0], b[0], a[2] == b[2]) for a in rows_ for b in rows_ if a[0] < b[0] and a[1] == b[1] and a[2] and b[2] and (a[2] == b[2] or (a[2], b[2]) in near)]
     assert got == sorted(want)
     assert looked.value <= 60
+
+
+def test_block_pairs_broadcast_no_side(spark):
+    p = spark.range(9).selectExpr("id", "'c' AS city", "concat('hill ', id % 3) AS name")  # of a size that Spark knows to be small
+    out = dedup.block_pairs(p, ["city"], F.levenshtein(F.col("a.name"), F.col("b.name"), 1) >= 0)
+    assert out.count() == 36
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
