@@ -28,6 +28,13 @@ def cell_sizes(radius_km: float, most_latitude: float) -> tuple[float, float]:
     return min(360.0, height / max(0.0001, cos(radians(min(90.0, most_latitude + height))))), height
 
 
+def around_globe(radius_km: float, most_latitude: float) -> tuple[float, float, int]:
+    """Width and height of such cells, and how many there are around the globe: three at least, or one."""
+    w, h = cell_sizes(radius_km, most_latitude)
+    columns = floor(360.0 / w)
+    return (360.0 / columns, h, columns) if columns >= 3 else (360.0, h, 1)
+
+
 def highest(points: DataFrame) -> float:
     """The largest latitude, north or south, of the points."""
     return points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
@@ -39,19 +46,15 @@ def neighbours(left: DataFrame, right: DataFrame, radius_km: float, most_latitud
 
     Without `most_latitude` the largest latitude is looked up; a smaller one than the points' loses pairs. Distances on a plane don't meet across the 180th meridian.
     """
-    w, h = (radius_km / _DEGREE,) * 2 if planar else cell_sizes(radius_km, highest(left) if most_latitude is None else most_latitude)
-    if not planar:
-        w = 360.0 / max(1, floor(360.0 / w))  # a whole number of cells around the globe
-    columns = round(360.0 / w)
+    w, h, columns = (radius_km / _DEGREE, radius_km / _DEGREE, 0) if planar else around_globe(radius_km, highest(left) if most_latitude is None else most_latitude)
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = left.select(F.col("id").alias("a"), F.col("lon").alias("__x"), F.col("lat").alias("__y"), *on, F.explode(around).alias("__d"))
 
     def column(cell: Column) -> Column:
         return cell if planar else F.pmod(cell, F.lit(columns))
 
-    if not planar and columns < 3:
-        a = a.filter("__d.i = 0")  # all longitudes are one cell or two
-        w, columns = 360.0, 1
+    if columns == 1:
+        a = a.filter("__d.i = 0")
     a = a.select("a", "__x", "__y", *on, column(geo.cell(F.col("__x"), w) + F.col("__d.i")).alias("__i"), (geo.cell(F.col("__y"), h) + F.col("__d.j")).alias("__j"))
     b = right.select(F.col("id").alias("b"), *on, F.col("lon").alias("__u"), F.col("lat").alias("__v"), column(geo.cell(F.col("lon"), w)).alias("__i"), geo.cell(F.col("lat"), h).alias("__j"))
     measure = geo.planar_km if planar else geo.haversine_km
@@ -60,9 +63,20 @@ def neighbours(left: DataFrame, right: DataFrame, radius_km: float, most_latitud
 
 
 def density(points: DataFrame, radii_km: tuple[int, ...] = (1, 5, 10), most_latitude: float | None = None) -> DataFrame:
-    """id, density_<r>km: other points within each radius, from one join at the largest."""
-    near = neighbours(points, points, float(max(radii_km)), most_latitude).filter("a <> b")
-    counts = near.groupBy(F.col("a").alias("id")).agg(*[F.count_if(F.col("km") <= r).alias(f"density_{r}km") for r in radii_km])
+    """id, density_<r>km: other points within each radius, without a row for each pair.
+
+    Points with the same id are one point in several places, which don't count each other. Points without coordinates have no others.
+    """
+    most = float(max(radii_km))
+    w, h, columns = around_globe(most, highest(points) if most_latitude is None else most_latitude)
+    names = [f"density_{r}km" for r in radii_km]
+    sums = tiles.pair_sums(points.select("id", "lon", "lat"), tiles.Counts(radii_km), w, h, columns, names)
+    own = points.select("id", "lon", "lat").groupBy("id").agg(F.collect_list(F.struct("lon", "lat")).alias("p"))  # one, as ids are keys
+
+    def met(r: int) -> Column:
+        return F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + F.size(F.filter("p", lambda y: geo.haversine_km(x["lon"], x["lat"], y["lon"], y["lat"]) <= r)))
+
+    counts = sums.groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).join(own, "id").select("id", *[(F.col(n) - met(r)).alias(n) for n, r in zip(names, radii_km, strict=True)])
     return points.select("id").join(counts, "id", "left").fillna(0)
 
 

@@ -39,6 +39,24 @@ def test_kernel_density_without_a_row_for_each_pair(spark, monkeypatch):
         assert got[a[0]] == pytest.approx(want, rel=1e-12)
 
 
+def globe(a, b):
+    x1, y1, x2, y2 = map(math.radians, (*a[1:], *b[1:]))
+    h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+    return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+
+
+@pytest.mark.parametrize(("lat", "radii"), [(22.0, (2, 5, 10)), (-89.9, (1, 30)), (50.0, (20, 9000))])
+def test_density_without_a_row_for_each_pair(spark, monkeypatch, lat, radii):
+    """At any latitude, across the 180th meridian, and where all longitudes are one tile."""
+    monkeypatch.setattr(spatial, "neighbours", no_pairs)
+    rows = [(i, x, max(-90.0, min(90.0, y))) for i, x, y in clumped(150, lat=lat)]
+    rows += [(5000 + i, x, lat) for i, x in enumerate((179.99, -179.99, 180.0, -180.0))]
+    points = spark.createDataFrame([*rows, (9000, None, 22.0), (9001, 110.0, float("nan"))], "id long, lon double, lat double")
+    got = {r["id"]: tuple(r[f"density_{k}km"] for k in radii) for r in spatial.density(points, radii).collect()}
+    assert got.pop(9000) == got.pop(9001) == (0,) * len(radii)
+    assert got == {a[0]: tuple(sum(globe(a, b) <= k for b in rows) - 1 for k in radii) for a in rows}
+
+
 def test_points_on_the_edge_of_the_kernel_count(spark):
     points = spark.createDataFrame([(0, 1.0, 1.0), (1, 1.0, 3.0), (2, 1.0, 3.0000001)], "id int, lon double, lat double")
     got = {r["id"]: r["density_score"] for r in spatial.kde(points, 55.5).collect()}  # 222 km: two degrees
