@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gazetta.functions import text
 from gazetta.operators import dedup, graph, ml, regions, spatial, vectors
 from gazetta.sources.schema import POINTS_SQL, Hierarchy, places, points
-from gazetta.sources.storage import active_runs
+from gazetta.sources.storage import active_runs, cut
 
 from .frequency import _CHARS, _TEND, CITY, _joined, _joined_sql
 from .registry import query, rounded
@@ -106,7 +106,7 @@ _KDE = f"dens AS (SELECT a.id, sum(exp(-pow(({_PAB}) / 111.0, 2) / (2 * pow({_H}
 
 @query(f"WITH {POINTS_SQL}, {_KDE} SELECT id, round(density_score, 6) AS density_score, density_score >= (SELECT quantile_cont(density_score, 0.9) FROM dens) AS is_hot FROM dens")
 def kde_hotspots(spark, sf_dir):
-    scored = spatial.kde(points(spark, sf_dir), _H, most_latitude=LATITUDE)
+    scored = cut(spatial.kde(points(spark, sf_dir), _H, most_latitude=LATITUDE))
     floor = scored.agg(F.percentile("density_score", 0.9).alias("floor"))
     return rounded(scored.join(F.broadcast(floor)).select("id", "density_score", (F.col("density_score") >= F.col("floor")).alias("is_hot")))  # a single row
 
