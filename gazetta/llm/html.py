@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
 Pages are parsed into trees of block elements, in which runs of like siblings are one
-node (a repeated slot). REFERENCES pages of a host are merged into its wrapper by
-partial tree alignment: trees are matched by simple tree matching, the recursive maximum matching of
+node (a repeated slot). REFERENCES pages of a host, and then the outlines (trees without texts) of all its pages that
+differ, are merged into its wrapper by partial tree alignment: trees are matched by simple tree matching, the recursive maximum matching of
 subtrees in order, and what has no partner is inserted beside its neighbour. Each page of the host is aligned
 with the wrapper. A text that a node has on nearly all different pages with that node is
 template. The other, varying slots are content if they lie in the content region: the
@@ -22,7 +22,7 @@ import html as entities
 import json
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,8 +37,10 @@ from .common import picked, written
 TEMPLATE_SHARE = 0.9
 #: The region is the deepest node with at least this share of the varying text around it.
 REGION_SHARE = 0.8
-#: Pages of a host that its wrapper is made of, at most.
+#: Pages of a host that its wrapper begins with, texts included, at most; all other pages give their outlines.
 REFERENCES = 8
+#: Parts in which a host's outlines are merged before they meet.
+_OUTLINE_PARTS = 64
 #: Cells of one alignment table beyond which long runs of children are halved.
 _CELLS = 250_000
 
@@ -162,8 +164,44 @@ def merge(a: Block, b: Block) -> None:
         todo += pairs
 
 
-def wrapper(pages: list[str]) -> str:
-    """The merged tree of pages: labels, and of each node, in order, its parent, label and the hashes of
+def _listed(root: Block, texts: Callable[[Block], Iterable[int]] = lambda b: ()) -> str:
+    """A tree as labels, and of each node, in order, its parent, label and hashes of texts."""
+    blocks = [*_walk(root)]
+    number = {id(b): i for i, b in enumerate(blocks)}
+    parent = {id(c): number[id(b)] for b in blocks for c in b.children}
+    labels = [*dict.fromkeys(b.label for b in blocks)]
+    at = {x: i for i, x in enumerate(labels)}
+    return json.dumps([labels, [[parent.get(id(b), -1), at[b.label], *texts(b)] for b in blocks]], separators=(",", ":"))
+
+
+def _tree(text: str) -> list[Block]:
+    """The nodes of a listed tree, in order."""
+    labels, rows = json.loads(text)
+    blocks = []
+    for parent, label, *prints in rows:
+        block = Block(labels[label].partition(".")[0], labels[label], True)
+        block.prints_ = tuple(prints)
+        if parent >= 0:
+            blocks[parent].children.append(block)
+        blocks.append(block)
+    return blocks
+
+
+def outline(page: str) -> str:
+    """The tree of a page without its texts."""
+    return _listed(slots(parse(page)))
+
+
+def merged_outlines(outlines: list[str]) -> str:
+    """The merged tree of outlines."""
+    whole, *others = (_tree(x)[0] for x in outlines)
+    for x in others:
+        merge(whole, x)
+    return _listed(whole)
+
+
+def wrapper(pages: list[str], outlines: Iterable[str] = ()) -> str:
+    """The merged tree of pages, and then of outlines: labels, and of each node, in order, its parent, label and the hashes of
     texts that two pages (or the only one) have there."""
     whole, seen = None, []
     for page in pages:
@@ -182,13 +220,9 @@ def wrapper(pages: list[str]) -> str:
     known: dict[int, set[int]] = {}
     for x, both in seen:
         known.setdefault(id(x), set()).update(both)
-    blocks = [*_walk(whole)]
-    number = {id(b): i for i, b in enumerate(blocks)}
-    parent = {id(c): number[id(b)] for b in blocks for c in b.children}
-    labels = [*dict.fromkeys(b.label for b in blocks)]
-    at = {x: i for i, x in enumerate(labels)}
-    texts = [b.prints() if len(pages) < 2 else sorted(known.get(id(b), ())) for b in blocks]
-    return json.dumps([labels, [[parent.get(id(b), -1), at[b.label], *t] for b, t in zip(blocks, texts, strict=True)]], separators=(",", ":"))
+    for x in outlines:
+        merge(whole, _tree(x)[0])
+    return _listed(whole, lambda b: b.prints() if len(pages) < 2 else sorted(known.get(id(b), ())))
 
 
 def skeleton(page: str) -> str:
@@ -199,14 +233,7 @@ def skeleton(page: str) -> str:
 @lru_cache(maxsize=256)
 def _reference(text: str) -> tuple[Block, dict[int, int]]:
     """The tree of a wrapper and the number of each of its nodes."""
-    labels, rows = json.loads(text)
-    blocks = []
-    for parent, label, *prints in rows:
-        block = Block(labels[label].partition(".")[0], labels[label], True)
-        block.prints_ = tuple(prints)
-        if parent >= 0:
-            blocks[parent].children.append(block)
-        blocks.append(block)
+    blocks = _tree(text)
     return blocks[0], {id(b): i for i, b in enumerate(blocks)}
 
 
@@ -495,7 +522,7 @@ def content_of(root: Block) -> list[tuple[Block, str, bool]]:
 
 def page_blocks(page: str, reference: str | None) -> list[tuple[str, int, bool, int, int, bool]]:
     """Unmarked blocks as (text, wrapper node or -1, whether the wrapper knows the text there, its hash
-    as a signed number if so and else 0, characters outside links, inside the page's own article)."""
+    as a signed number, 0 without a node, characters outside links, inside the page's own article)."""
     root = parse(page)
     found = content_of(root)
     if reference is None or not found:
@@ -509,7 +536,7 @@ def page_blocks(page: str, reference: str | None) -> list[tuple[str, int, bool,
         size = len(text) if id(block) in linked else max(0, len(text) - block.linked)
         linked.add(id(block))
         same = y is not None and mark in y.prints()
-        out.append((text, -1 if y is None else numbers[id(y)], same, _signed(mark) if same else 0, size, inside))
+        out.append((text, -1 if y is None else numbers[id(y)], same, 0 if y is None else _signed(mark), size, inside))
     return out
 
 
@@ -581,9 +608,24 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     some = rows.filter("host IS NOT NULL AND html <> ''").groupBy("host", F.pmod(F.shiftright("digest", 8), F.lit(REFERENCES)).alias("part")).agg(F.min_by("html", "digest").alias("html"))
     chosen = some.groupBy("host").agg(F.sort_array(F.collect_list("html")).alias("pages"))  # REFERENCES pages at most
 
+    def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["host"], pa.array([outline(x.as_py()) for x in batch["html"]], pa.string())], names=["host", "outline"])
+
+    def joined_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["host"], pa.array([merged_outlines(x.as_py()) for x in batch["outlines"]], pa.string())], names=["host", "outline"])
+
+    # all outlines of a host that differ, merged in parts and then whole
+    different_ = rows.filter("host IS NOT NULL AND html <> ''").select("host", "html").mapInArrow(outlined, "host string, outline string").distinct()
+    dealt = different_.groupBy("host", F.pmod(F.xxhash64("outline"), F.lit(_OUTLINE_PARTS)).alias("part")).agg(F.sort_array(F.collect_list("outline")).alias("outlines"))
+    parts = dealt.select("host", "outlines").mapInArrow(joined_, "host string, outline string")
+    chosen = chosen.join(parts.groupBy("host").agg(F.sort_array(F.collect_list("outline")).alias("outlines")), "host")
+
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["host"], pa.array([wrapper(x.as_py()) for x in batch["pages"]], pa.string())], names=["host", "reference"])
+            made = [wrapper(x.as_py(), y.as_py()) for x, y in zip(batch["pages"], batch["outlines"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["host"], pa.array(made, pa.string())], names=["host", "reference"])
 
     # one wrapper a host, of a size that Spark knows: it goes to all tasks if it is small, and meets the pages by host otherwise
     references = written(chosen.mapInArrow(induce, "host string, reference string"), "references")
@@ -605,7 +647,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     once = F.transform(F.array_distinct(F.concat(F.array(page), nodes, texts)), lambda x: F.struct(x["node"].alias("node"), x["mark"].alias("mark"), F.lit(1).alias("n"), F.lit(0).alias("size"), F.lit(0).alias("blocks")))
     sizes = F.transform("b", lambda b: F.struct(b["node"].alias("node"), b["mark"].alias("mark"), F.lit(0).alias("n"), b["size"].alias("size"), F.lit(1).alias("blocks")))
     counts = different.select("host", F.inline(F.concat(once, sizes))).groupBy("host", "node", "mark").agg(*[F.sum(c).alias(c) for c in ("n", "size", "blocks")])
-    # a wrapper's nodes and known texts: bounded by its reference pages
+    # texts that too few pages with their node have are no template: they are one sum for each node
+    having = counts.filter("mark = 0").select("host", "node", F.col("n").alias("having"))
+    often = (F.col("mark") == 0) | (F.col("n") >= F.greatest(F.lit(2.0), TEMPLATE_SHARE * F.col("having")))
+    counts = counts.join(having, ["host", "node"]).select("host", "node", F.when(often, F.col("mark")).otherwise(F.lit(0)).alias("mark"), F.when(often, F.col("n")).otherwise(F.lit(0)).alias("n"), "size", "blocks")
+    counts = counts.groupBy("host", "node", "mark").agg(*[F.sum(c).alias(c) for c in ("n", "size", "blocks")])
+    # a wrapper's nodes and its template's texts
     listed = counts.groupBy("host").agg(F.collect_list(F.struct("node", "mark", "n", "size", "blocks")).alias("counts")).join(references, "host")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -718,3 +718,13 @@ def test_plain_splitting_is_exact():
     spaces = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
     for c in spaces:
         assert (model.tokenizer.normalizer.normalize_str(f"a{c}b") == "a b") == (c not in bpe._KEPT)
+
+
+def test_a_layout_of_few_pages_belongs_to_the_wrapper(spark):
+    """Parts that only 3 of 150 pages of a host have are in its wrapper, whichever pages it begins with; what those share is template."""
+    usual = "<div class=top>Site</div><div class=body><h2>Head {i}</h2><p>Text of page {i} with words {i}</p>{more}</div><div class=end>End</div>"
+    more = "<section class=box><div class=note>Our usual note</div><blockquote>Quoted {i}</blockquote></section>"
+    rows = [(i, f"http://a.b/{i}", "<body>" + usual.format(i=i, more=more.format(i=i) if i % 50 == 7 else "") + "</body>") for i in range(150)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(150):
+        assert got[i] == f"Head {i}\n\nText of page {i} with words {i}" + (f"\n\nQuoted {i}" if i % 50 == 7 else "")
