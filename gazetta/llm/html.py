@@ -647,7 +647,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     once = F.transform(F.array_distinct(F.concat(F.array(page), nodes, texts)), lambda x: F.struct(x["node"].alias("node"), x["mark"].alias("mark"), F.lit(1).alias("n"), F.lit(0).alias("size"), F.lit(0).alias("blocks")))
     sizes = F.transform("b", lambda b: F.struct(b["node"].alias("node"), b["mark"].alias("mark"), F.lit(0).alias("n"), b["size"].alias("size"), F.lit(1).alias("blocks")))
     counts = different.select("host", F.inline(F.concat(once, sizes))).groupBy("host", "node", "mark").agg(*[F.sum(c).alias(c) for c in ("n", "size", "blocks")])
-    # texts that too few pages with their node have are no template: they are one sum for each node
+    # texts that too few pages with their node have are no template: they are one sum for each node, those of one page first,
+    # summed in part before the shuffle
+    shared = (F.col("mark") == 0) | (F.col("n") >= 2)
+    counts = counts.select("host", "node", F.when(shared, F.col("mark")).otherwise(F.lit(0)).alias("mark"), F.when(shared, F.col("n")).otherwise(F.lit(0)).alias("n"), "size", "blocks")
+    counts = counts.groupBy("host", "node", "mark").agg(*[F.sum(c).alias(c) for c in ("n", "size", "blocks")])
     having = counts.filter("mark = 0").select("host", "node", F.col("n").alias("having"))
     often = (F.col("mark") == 0) | (F.col("n") >= F.greatest(F.lit(2.0), TEMPLATE_SHARE * F.col("having")))
     counts = counts.join(having, ["host", "node"]).select("host", "node", F.when(often, F.col("mark")).otherwise(F.lit(0)).alias("mark"), F.when(often, F.col("n")).otherwise(F.lit(0)).alias("n"), "size", "blocks")
