@@ -329,3 +329,17 @@ def test_block_pairs_broadcast_no_side(spark):
     out = dedup.block_pairs(p, ["city"], F.levenshtein(F.col("a.name"), F.col("b.name"), 1) >= 0)
     assert out.count() == 36
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_duplicate_pairs_broadcast_nothing_when_run(spark, tmp_path):
+    """The plan as it was run: sizes seen meanwhile don't turn a join of names into a broadcast either."""
+    from gazetta import plans
+
+    part = spark.range(60).selectExpr("id AS p_partkey", "concat('hill ', id % 3) AS p_name", "'b' AS p_brand", "'t' AS p_type", "cast(id % 2 AS int) AS p_size")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    out = plans.QUERIES["near_duplicate_pairs"](spark, str(tmp_path))
+    got = {(r["id_a"], r["id_b"], r["same_name"]) for r in out.collect()}
+    assert got == {(a, b, (a - b) % 6 == 0) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3 or a % 2 == b % 2}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    assert "Broadcast" not in plan
